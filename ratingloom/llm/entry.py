@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import iso_media, packing, quality, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op3_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest, digest_only=True)
 
 
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), learn=~held_out("__id"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iso_media.digests(iso_media.probe(iso_media.store(_table(spark, sf_dir, "documents"))))
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
     return packing.pack(cut, capacity=4096)
@@ -31,6 +42,8 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_elias_fano_token_files": op3_elias_fano_token_files,
+    "op5_compression_quality": op5_compression_quality,
+    "op7_iso_media": op7_iso_media,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
 }
 ORACLES: dict[str, str] = {}
