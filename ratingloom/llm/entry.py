@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, packing, quality, simhash, token_files
+from . import iso_media, packing, quality, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,17 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, capacity=4096)
 
 
+def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"), least=1000)
+    return warc.index(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_elias_fano_token_files": op3_elias_fano_token_files,
     "op5_compression_quality": op5_compression_quality,
     "op7_iso_media": op7_iso_media,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
+    "op9_warc_capture_index": op9_warc_capture_index,
 }
 ORACLES: dict[str, str] = {}

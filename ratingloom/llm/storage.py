@@ -47,7 +47,7 @@ def put(uri: str, chunks) -> int:
     files, path = open_fs(uri)
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft, n = f"{path}.{uuid.uuid4().hex}.draft", 0
-    with files.open_output_stream(draft) as out:
+    with files.open_output_stream(draft, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)
