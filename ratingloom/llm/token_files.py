@@ -67,7 +67,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
         uri = f"{folder}/part-{part:06d}.tok"
         put(uri, chunks())
         n = np.concatenate(lengths)
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [len(n)], "tokens": [int(n.sum())]})
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(n)]), pa.array([int(n.sum())])], ["part", "file", "docs", "tokens"])
 
     sorted_docs = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
