@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, packing, quality, simhash, token_files, warc
+from . import iso_media, packing, quality, simhash, token_files, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", va_file.scaled(F.col("embedding"), 64).alias("vector"))
+    found = va_file.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,10 +47,11 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_table(spark, sf_dir, "pages"), least=1000)
-    return warc.index(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    return warc.index(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
+    "op1_va_file_top_k": op1_va_file_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_elias_fano_token_files": op3_elias_fano_token_files,
     "op5_compression_quality": op5_compression_quality,
@@ -52,4 +59,36 @@ QUERIES = {
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_warc_capture_index": op9_warc_capture_index,
 }
-ORACLES: dict[str, str] = {}
+
+_OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS kept FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM m
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_va_file_top_k": _OP1_SQL,
+    "op9_warc_capture_index": _OP9_SQL,
+}
