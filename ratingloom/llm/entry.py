@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, packing, quality, simhash, token_files, va_file, warc
+from . import byte_bpe, iso_media, packing, quality, simhash, token_files, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.digests(iso_media.probe(iso_media.store(_table(spark, sf_dir, "documents"))))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_elias_fano_token_files": op3_elias_fano_token_files,
     "op5_compression_quality": op5_compression_quality,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_iso_media": op7_iso_media,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_warc_capture_index": op9_warc_capture_index,

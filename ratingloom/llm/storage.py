@@ -7,6 +7,7 @@ run again writes the same file again.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -37,19 +38,34 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df computed once and kept as compressed Parquet on shared storage; for what is too large for saved()."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI or a plain path."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{os.path.abspath(uri)}")
 
 
-def put(uri: str, chunks) -> int:
-    """Write chunks of bytes to a file that appears whole or not at all; the number of bytes."""
+@contextlib.contextmanager
+def new_file(uri: str):
+    """A stream for a file that appears whole or not at all."""
     files, path = open_fs(uri)
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    draft, n = f"{path}.{uuid.uuid4().hex}.draft", 0
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
     with files.open_output_stream(draft, compression=None) as out:
+        yield out
+    files.move(draft, path)
+
+
+def put(uri: str, chunks) -> int:
+    """Write chunks of bytes to a file that appears whole or not at all; the number of bytes."""
+    n = 0
+    with new_file(uri) as out:
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)
-    files.move(draft, path)
     return n
