@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, iso_media, packing, quality, simhash, token_files, va_file, warc
+from . import byte_bpe, iso_media, packing, pii, quality, simhash, token_files, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op3_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest, digest_only=True)
 
 
+def op4_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
@@ -59,6 +67,7 @@ QUERIES = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_elias_fano_token_files": op3_elias_fano_token_files,
+    "op4_pii_candidates": op4_pii_candidates,
     "op5_compression_quality": op5_compression_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_iso_media": op7_iso_media,
