@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import saved
@@ -87,20 +87,22 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, dense: int = 256) -> Da
         ways += [(inside, 1 << j) for j in range(ends[s], ends[s + 1])]
     signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
     table = F.array(*(F.struct(F.lit(k).alias("way"), F.lit(signed(inside & ~out)).alias("mask"), F.lit(signed(out)).alias("out")) for k, (inside, out) in enumerate(ways)))
+    # The few classes fill few partitions; their many variants are made in as many tasks as a shuffle has.
+    spread = fps.select("fp").where("fp is not null").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     index = (
-        fps.select("fp").where("fp is not null").distinct()
-        .select("fp", F.explode(table).alias("w"))
+        spread.select("fp", F.explode(table).alias("w"))
         .select("fp", F.col("w.way").alias("way"), F.col("fp").bitwiseAND(F.col("w.mask")).alias("key"),
                 F.when(F.col("w.out") == 0, F.lit(None).cast("boolean")).otherwise(F.col("fp").bitwiseAND(F.col("w.out")) != 0).alias("side"))
     )
-    crowded = saved(index.groupBy("way", "key").count().where(F.col("count") > dense).select("way", "key"))
-    sparse = index.join(crowded, ["way", "key"], "left_anti")
+    # One exchange: nearly all keys hold one fingerprint, and only what meets another is kept.
+    met = saved(index.withColumn("n", F.count("*").over(Window.partitionBy("way", "key"))).where("n > 1"))
+    sparse = met.where(F.col("n") <= dense)
     # A variant pairs those that have the left-out bit with those that lack it: pairs that agree in it also meet in the whole segment.
     left = sparse.where("side is null or not side").select("way", "key", F.col("fp").alias("a"))
     right = sparse.where("side is null or side").select("way", "key", F.col("fp").alias("b"), F.col("side").alias("bs"))
     close = left.join(right, ["way", "key"]).where((F.col("bs").isNotNull() | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= distance))
     pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = index.join(crowded, ["way", "key"], "left_semi").select("fp").distinct()
+    members = met.where(F.col("n") > dense).select("fp").distinct()
     masks = [signed(~sum(1 << j for j in js) & ((1 << BITS) - 1)) for js in itertools.combinations(range(BITS), distance)]
     variants = members.select("fp", F.posexplode(F.array(*map(F.lit, masks))).alias("way", "mask")).select("fp", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     heads = variants.groupBy("way", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
