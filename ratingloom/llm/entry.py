@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, iso_media, packing, pii, quality, simhash, token_files, va_file, warc
+from . import byte_bpe, iso_media, packing, pii, quality, simhash, suffix_dedup, token_files, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -73,6 +78,7 @@ QUERIES = {
     "op7_iso_media": op7_iso_media,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_warc_capture_index": op9_warc_capture_index,
+    "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
 }
 
 _OP1_SQL = """
