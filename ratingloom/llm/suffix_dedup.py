@@ -21,12 +21,12 @@ with short references, and runs. No group is collected: of a key, a slice sends
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.feather as feather
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +59,7 @@ class _Slice:
     """A slice's texts and what earlier passes have found, in files of a folder."""
 
     def __init__(self, folder: str, number: int):
-        self.at, self.number = f"{folder}/{number & (1 << 63) - 1:016x}", number
+        self.at, self.number = f"{folder}/{number:016x}", number
 
     def save(self, kind: str, **arrays: np.ndarray) -> None:
         _save(f"{self.at}.{kind}", pa.table({k: pa.array(v) for k, v in arrays.items()}))
@@ -170,8 +170,7 @@ def _slices(docs: DataFrame, text_col: str, folder: str, length: int, gram: int)
     """Keep docs as slices; a row for each slice and each distinct anchor hash of it."""
     at = docs.columns.index(text_col)
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = uuid.uuid4().int >> 65
+    def flush(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
         known: dict[bytes, int] = {}
         index = [known.setdefault((t or "").encode("utf-8", "surrogatepass"), len(known)) for b in held for t in b.column(at).to_pylist()]
@@ -181,21 +180,22 @@ def _slices(docs: DataFrame, text_col: str, folder: str, length: int, gram: int)
         others = others.set_column(at, others.schema.names[at], others.column(at).is_null())  # of the text only whether it was null
         _save(f"{own.at}.rows", pa.table([*others.columns, pa.array(index, pa.int32())], names=[*(f"c{i}" for i in range(others.num_columns)), "index"]))
         text, _, _, key = _anchors([memoryview(t) for t in known], length, gram)
-        yield from _rows(np.array([hash(("slice", number))]), number, _SELF, 2, 1)
+        yield from _rows(np.array([-number - 1]), number, _SELF, 2, 1)
         yield from _told(key, copies[text], np.ones(len(key)), number)[1]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        number = TaskContext.get().partitionId() << 24  # a task that runs again gives the same slices
         for batch in found:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 size += sum(len(t) for t in part.column(at).to_pylist() if t)
                 held.append(part)
                 if size >= SLICE_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, number)
 
     return docs.mapInArrow(run, _ROWS_DDL)
 
