@@ -12,20 +12,22 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_file, new_folder, open_fs, stored
+from .storage import new_file, new_folder, open_fs
 
-#: Distinct pieces of a chunk; bytes of the longest piece that the fold takes (its steps grow with the square).
-CHUNK_PIECES, FOLD_BYTES = 1 << 19, 256
+#: Distinct pieces of a chunk; bytes of the longest piece that the fold takes (its steps grow with the square);
+#: chunks that one row names.
+CHUNK_PIECES, FOLD_BYTES, REFERENCES = 1 << 19, 256, 4096
 _SHIFT, _MIX = 20, ((0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F))
 
 
@@ -88,19 +90,33 @@ def piece_ids(piece: Column, ranks: dict[bytes, int]) -> Column:
     spelt = F.hex(piece.cast("binary"))
     start = F.transform(F.sequence(F.lit(0), F.octet_length(piece) - 1), lambda i: F.get(singles, F.conv(F.substr(spelt, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
 
-    def step(ids: Column, table: Column) -> Column:
-        n = F.size(ids)
-        found = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: _lookup(table, len(pairs), a, b))
-        least = F.array_min(found)
+    lookup = lambda table, a, b: _lookup(table, len(pairs), a, b)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    edge = F.array(F.lit(-1))
 
-        def merge(of: Column) -> Column:
-            at = F.array_position(of["found"], of["least"]).cast("int")
-            return F.concat(F.slice(ids, F.lit(1), at - 1), F.array(of["least"]), F.slice(ids, at + 2, n))
+    def step(state: Column, table: Column) -> Column:
+        ids, ranks = state["ids"], state["ranks"]
 
-        return F.get(F.transform(F.array(F.struct(found.alias("found"), least.alias("least"))), lambda of: F.when(of["least"].isNull(), ids).otherwise(merge(of))), F.lit(0))
+        def merge(least: Column, at: Column) -> Column:
+            """The state with the ids at places at and at + 1 as one; only its two neighbours get new ranks."""
+            near = F.array(lookup(table, F.get(ids, at - 2), least), lookup(table, least, F.get(ids, at + 1)))
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), near, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
+            )
 
-    fold = lambda table: F.aggregate(F.sequence(F.lit(1), F.size(start)), start, lambda ids, _: step(ids, table))
-    return F.get(F.transform(F.array(literal), fold), F.lit(0))
+        return let(F.array_min(ranks), lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(ranks, least).cast("int"), lambda at: merge(least, at))))
+
+    def fold(table: Column) -> Column:
+        def run(ids: Column) -> Column:
+            n = F.size(ids)
+            ranks = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: lookup(table, a, b))
+            begin = F.struct(ids.alias("ids"), ranks.alias("ranks"))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2))), begin, lambda state, _: step(state, table), lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2))
+
+        return let(F.concat(edge, start, edge), run)
+
+    return let(literal, fold)
 
 
 def long_piece_ids(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -126,16 +142,37 @@ def long_piece_ids(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int,
     return [x for x in ids if x >= 0]
 
 
-def _coded(docs: DataFrame, pattern: str, folder: str) -> DataFrame:
-    """(chunk, code, piece) of every chunk; its documents' codes are in a file of folder that the chunk names."""
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(blobs: pa.Array) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs]).combine_chunks()
+
+
+def _arrow_type(docs: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(docs.schema["doc_id"].dataType)
+
+
+def _coded(docs: DataFrame, pattern: str, folder: str, parts: int) -> DataFrame:
+    """(part, chunk, blob): the pieces of every chunk, with their codes, cut by a hash of the piece; the documents' codes are in a file of folder.
+
+    A chunk is named by its partition, so that a task that runs again gives the same chunk.
+    """
     kind = pa.schema([("doc_id", _arrow_type(docs)), ("codes", pa.list_(pa.int32()))])
+    rows = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        source, waiting = (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)), None
-        waiting = next(source, None)
+        source = (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512))
+        waiting, chunk = next(source, None), TaskContext.get().partitionId() << 24
         while waiting is not None:
-            chunk, known = uuid.uuid4().int >> 65, {}
+            known: dict[str, int] = {}
             with new_file(f"{folder}/{chunk:016x}.parquet") as out, pq.ParquetWriter(out, kind, compression="zstd", use_dictionary=False, column_encoding={"codes.list.element": "BYTE_STREAM_SPLIT"}) as file:
                 while waiting is not None and len(known) < CHUNK_PIECES:
                     codes, ends = [], [0]
@@ -147,17 +184,60 @@ def _coded(docs: DataFrame, pattern: str, folder: str) -> DataFrame:
                     file.write_batch(pa.RecordBatch.from_arrays([waiting.column(0), lists], schema=kind))
                     waiting = next(source, None)
             pieces = pa.array(known, pa.string())
-            for i in range(0, max(1, len(pieces)), 1 << 16):  # a chunk without pieces is named once, by a null
-                part = pieces.slice(i, 1 << 16) if len(pieces) else pa.nulls(1, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), len(part)), pa.array(np.arange(i, i + len(part)), pa.int32()), part], ["chunk", "code", "piece"])
-
-    return docs.mapInArrow(run, "chunk bigint, code int, piece string")
-
-
-def _arrow_type(docs: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(docs.schema["doc_id"].dataType)
+            part = np.fromiter((zlib.crc32(p.encode()) % parts for p in known), np.int32, len(known))
+            order = np.argsort(part, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1), len(order)]
+            for i, j in zip(cuts[:-1], cuts[1:]):  # a chunk without pieces still has one row, of none
+                own = order[i:j]
+                blob = _packed(pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pieces.take(pa.array(own))], ["code", "piece"]))
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]]) if len(own) else 0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], schema=rows)
+            chunk += 1
+
+    return docs.mapInArrow(run, "part int, chunk bigint, blob binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value of a sorted column."""
+    now, held = None, []
+    for batch in batches:
+        values = np.asarray(batch.column(key))
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1), len(values)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i == j:
+                continue
+            if values[i] != now and held:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = int(values[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, chunks, codes): each distinct piece of a part once, or once for each REFERENCES chunks that hold it; chunks without pieces under null."""
+    for _, rows in _runs(batches, "part"):
+        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows["blob"]]
+        chunk = np.repeat(np.asarray(rows["chunk"]), [t.num_rows for t in tables])
+        empty = np.asarray(rows["chunk"])[[t.num_rows == 0 for t in tables]]
+        table = pa.concat_tables(tables).combine_chunks()
+        if len(chunk):
+            coded = table["piece"].combine_chunks().dictionary_encode()
+            index = np.asarray(coded.indices)
+            order = np.argsort(index, kind="stable")
+            index, chunk, code = index[order], chunk[order], np.asarray(table["code"])[order]
+            count = np.bincount(index)
+            share = (np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)) // REFERENCES
+            first = np.flatnonzero(np.append(True, (np.diff(index) != 0) | (np.diff(share) != 0)))
+            for i in range(0, len(first), 4096):
+                some = first[i : i + 4096]
+                stop = first[i + 4096] if i + 4096 < len(first) else len(index)
+                ends = pa.array(np.append(some, stop) - some[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[some[0] : stop])) for x in (chunk, code)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(index[some])), *lists], ["piece", "chunks", "codes"])
+        if len(empty):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(empty)], pa.int32()), x) for x in (pa.array(empty), pa.nulls(len(empty), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *lists], ["piece", "chunks", "codes"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,33 +248,50 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark = docs.sparkSession
     folder = new_folder(spark, "codes")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = stored(_coded(own, pattern, folder), "pieces")
     kind = _arrow_type(own)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_piece = words.where("piece is not null").repartition(parts, "piece")
-    distinct = by_piece.select("piece").distinct()
-    short = distinct.where(F.octet_length("piece") <= FOLD_BYTES).select("piece", piece_ids(F.col("piece"), ranks).alias("ids"))
     sent = spark.sparkContext.broadcast(ranks)
+    coded = _coded(own, pattern, folder, 4 * parts).repartition(parts, "part").sortWithinPartitions("part")
+    pieces = coded.mapInArrow(_gathered, "piece string, chunks array<bigint>, codes array<int>")
+    short = F.octet_length("piece") <= FOLD_BYTES
+    found = pieces.select(F.when(short, piece_ids(F.col("piece"), ranks)).alias("ids"), F.when(~short, F.col("piece")).alias("piece"), "chunks", "codes")
 
-    def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, blob): the ids of a chunk's codes."""
         pairs = None
-        for batch in batches:
-            pairs = pairs or (pair_ranks(sent.value) if batch.num_rows else None)
-            found = [long_piece_ids(p.encode(), sent.value, pairs) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["piece", "ids"])
-
-    long = distinct.where(F.octet_length("piece") > FOLD_BYTES).mapInArrow(long_ones, "piece string, ids array<int>")
-    found = by_piece.join(short.hint("shuffle_hash"), "piece").select("chunk", "code", "ids")
-    if words.where(F.octet_length("piece") > FOLD_BYTES).limit(1).count():
-        found = found.unionByName(by_piece.where(F.octet_length("piece") > FOLD_BYTES).join(long, "piece").select("chunk", "code", "ids"))
-    found = found.unionByName(words.where("piece is null").select("chunk", F.lit(None).cast("int").alias("code"), F.array().cast("array<int>").alias("ids")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put_together(chunk: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
-            rows = rows.filter(rows["code"].is_valid())
-            order = np.argsort(np.asarray(rows["code"]), kind="stable")
-            pieces = rows["ids"].combine_chunks().take(pa.array(order))
+            chunk, code = rows["chunks"].combine_chunks().flatten(), rows["codes"].combine_chunks().flatten()
+            row = np.repeat(np.arange(rows.num_rows), np.asarray(rows["chunks"].combine_chunks().value_lengths()))
+            order = np.argsort(np.asarray(chunk), kind="stable")
+            chunk, code = np.asarray(chunk)[order], code.take(pa.array(order))
+            ids = rows["ids"].combine_chunks().take(pa.array(row[order]))
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i < j:
+                    blob = _packed(pa.RecordBatch.from_arrays([code.slice(i, j - i), pa.concat_arrays([ids.slice(i, j - i)])], ["code", "ids"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(chunk[i])]), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.column("piece").null_count < batch.num_rows:
+                pairs = pairs or pair_ranks(sent.value)
+                ids = [i if p is None else long_piece_ids(p.encode(), sent.value, pairs) for i, p in zip(batch.column("ids").to_pylist(), batch.column("piece").to_pylist())]
+                batch = batch.set_column(0, "ids", pa.array(ids, pa.list_(pa.int32())))
+            held.append(pa.RecordBatch.from_arrays([batch.column(c) for c in ("ids", "chunks", "codes")], ["ids", "chunks", "codes"]))
+            size += len(batch.column("codes").flatten())
+            if size >= 1 << 20:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _runs(batches, "chunk"):
+            table = _unpacked(rows["blob"])
+            table = table.filter(table["code"].is_valid())
+            pieces = table["ids"].combine_chunks().take(pa.array(np.argsort(np.asarray(table["code"]), kind="stable")))
             start, flat = np.asarray(pieces.offsets).astype(np.int64), np.asarray(pieces.values)
             size = np.diff(start)
             files, path = open_fs(f"{folder}/{chunk:016x}.parquet")
@@ -208,23 +305,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[at], pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), lists], ["doc_id", "ids"])
 
-        now, held = None, []
-        for batch in batches:
-            chunks = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1), len(chunks)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if i == j:
-                    continue
-                if chunks[i] != now and held:
-                    yield from put_together(now, held)
-                    held = []
-                now = int(chunks[i])
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from put_together(now, held)
-
-    ddl = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>"
-    return found.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, ddl)
+    blobs = found.mapInArrow(dealt, "chunk bigint, blob binary").repartition(parts, "chunk").sortWithinPartitions("chunk")
+    return blobs.mapInArrow(assembled, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
