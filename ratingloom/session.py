@@ -1,8 +1,10 @@
-"""Session settings that the library expects."""
+"""Session settings that the library expects, and tables on the cluster's shared storage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,3 +26,11 @@ def build_session(master: str | None = None, app: str = "ratingloom", **conf: ob
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut, on the storage that spark.checkpoint.dir names; a temporary folder only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ratingloom-"))
+    return df.checkpoint()
