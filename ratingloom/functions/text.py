@@ -52,11 +52,11 @@ def stemmed(word: pd.Series) -> pd.Series:
     return word.map(lambda w: None if w is None else porter.stem(w))
 
 
-def tokens(titles: DataFrame, stem: bool = True, id_col: str = "item_id", text_col: str = "title") -> DataFrame:
-    """(item_id, pos, token): the terms of each title, by place among its terms from 0.
+def term_lists(titles: DataFrame, stem: bool = True, id_col: str = "item_id", text_col: str = "title") -> DataFrame:
+    """(item_id, tokens array<string>): the terms of each title, in order.
 
     Stems are found once for each distinct word and joined back. Null and empty titles, and those of stop
-    words only, have no rows; titles that repeat an id are taken together only if their texts differ.
+    words only, have no row. A title's terms come together by an aggregate: titles are short.
     """
     each = titles.select(F.col(id_col).alias("item_id"), F.posexplode(F.transform(words(F.col(text_col)), F.lower)).alias("at", "raw")).where(~is_stop(F.col("raw")))
     each = each.withColumn("word", mapped(stripped(F.col("raw"))))
@@ -66,12 +66,16 @@ def tokens(titles: DataFrame, stem: bool = True, id_col: str = "item_id", text_c
     else:
         each = each.withColumn("token", F.col("word"))
     kept = each.where((F.length("token") > 0) & ~((F.length("token") < F.length("raw")) & is_stop(F.col("token"))))
-    # A title's terms come together once, by an aggregate: titles are short.
     listed = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-    return listed.select("item_id", F.posexplode("t").alias("pos", "t")).select("item_id", "pos", F.col("t.token").alias("token"))
+    return listed.select("item_id", F.transform("t", lambda t: t["token"]).alias("tokens"))
 
 
-def bigrams(terms: DataFrame) -> DataFrame:
+def tokens(lists: DataFrame) -> DataFrame:
+    """(item_id, pos, token) of term_lists()'s rows, places from 0."""
+    return lists.select("item_id", F.posexplode("tokens").alias("pos", "token"))
+
+
+def bigrams(lists: DataFrame) -> DataFrame:
     """(item_id, pos, bigram): neighbours among the terms of each title, joined by a blank."""
-    after = terms.select("item_id", (F.col("pos") - 1).alias("pos"), F.col("token").alias("next"))
-    return terms.join(after, ["item_id", "pos"]).select("item_id", "pos", F.concat_ws(" ", "token", "next").alias("bigram"))
+    pairs = F.zip_with(F.slice("tokens", F.lit(1), F.size("tokens") - 1), F.slice("tokens", F.lit(2), F.size("tokens") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return lists.select("item_id", F.posexplode(pairs).alias("pos", "bigram"))

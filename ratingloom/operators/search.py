@@ -7,7 +7,8 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, tokens
+from ..functions.text import bigrams, term_lists, tokens
+from ..session import saved
 
 #: A pair of terms counts so much more than a term.
 PAIR = 1.5
@@ -30,15 +31,14 @@ class Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stem)
 
 
-def _all_terms(titles: DataFrame, stem: bool) -> DataFrame:
-    words = tokens(titles, stem)
-    pairs = bigrams(words)
-    return words.select("item_id", F.col("token").alias("term"), F.lit("token").alias("kind")).unionByName(pairs.select("item_id", F.col("bigram").alias("term"), F.lit("bigram").alias("kind")))
+def _all_terms(lists: DataFrame) -> DataFrame:
+    words = tokens(lists).select("item_id", F.col("token").alias("term"), F.lit("token").alias("kind"))
+    return words.unionByName(bigrams(lists).select("item_id", F.col("bigram").alias("term"), F.lit("bigram").alias("kind")))
 
 
 def build_index(titles: DataFrame, stem: bool = True) -> Index:
-    """The index of titles (item_id, title)."""
-    every = _all_terms(titles, stem)
+    """The index of titles (item_id, title), whose terms are found once and kept."""
+    every = _all_terms(saved(term_lists(titles, stem)))
     return Index(every.select("term", "kind", "item_id").distinct(), every.groupBy("term", "kind").agg(F.count("*").alias("n")), stem)
 
 
@@ -48,7 +48,7 @@ def search(index: Index, text: str, limit: int = 100) -> DataFrame:
     Ties go to the larger id. The text's few terms are broadcast to the index; without terms there is no row.
     """
     spark = index.postings.sparkSession
-    asked = _all_terms(spark.createDataFrame([(0, text)], "item_id long, title string"), index.stem)
+    asked = _all_terms(term_lists(spark.createDataFrame([(0, text)], "item_id long, title string"), index.stem))
     wanted = asked.groupBy("term", "kind").agg(F.count("*").alias("times"))
     known = index.terms.join(F.broadcast(wanted), ["term", "kind"])
     weight = F.col("times") * F.when(F.col("kind") == "bigram", PAIR).otherwise(1.0) / F.col("n")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.numeric import num_factors
 from ..operators import agreement, linalg, models, prep, search, serving, similar
 from ..session import saved
@@ -296,17 +297,17 @@ def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> search.Index
 
 @query
 def title_tokens(spark, sf_dir):
-    return search.tokens(testdata.titles(spark, sf_dir), stem=False)
+    return text.tokens(text.term_lists(testdata.titles(spark, sf_dir), stem=False))
 
 
 @query
 def title_tokens_stemmed(spark, sf_dir):
-    return search.tokens(testdata.titles(spark, sf_dir), stem=True)
+    return text.tokens(text.term_lists(testdata.titles(spark, sf_dir), stem=True))
 
 
 @query
 def title_bigrams(spark, sf_dir):
-    return search.bigrams(title_tokens(spark, sf_dir))
+    return text.bigrams(text.term_lists(testdata.titles(spark, sf_dir), stem=False))
 
 
 @query
