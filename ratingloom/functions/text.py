@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import porter
 
@@ -47,7 +48,7 @@ def mapped(word: Column) -> Column:
     return F.coalesce(F.try_element_at(table, bare), bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(word: pd.Series) -> pd.Series:
     return word.map(lambda w: None if w is None else porter.stem(w))
 
