@@ -10,14 +10,19 @@ from ..operators.serving import live_ratings
 from ..sources.readers import upsert
 
 
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    """Events with a watermark; times without a zone count in the session's."""
+    return events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", delay)
+
+
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Streamed events without those that are sent again within delay."""
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def counted(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """(start, n, users): events and, nearly, users of each window; late ones are waited for."""
-    grouped = events.withWatermark("event_time", delay).groupBy(F.window("event_time", window))
+    grouped = _timed(events, delay).groupBy(F.window("event_time", window))
     return grouped.agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "n", "users")
 
 
