@@ -66,7 +66,8 @@ class TagCount:
 
     Model 0 fits the offset from the median to (tag_dot, genre_dot, 1) on ratings with tag_dot > 0.1, of
     which there must be 3; model 1 to (genre_dot, 1) on all, at least 2. Where the tags say nothing or
-    there is no model 0, model 1 predicts; where there is neither, the median.
+    there is no model 0, model 1 predicts; where there is neither, the median. The variant "research" fits
+    model 1 to the ratings that model 0 leaves, and either to a single one.
     """
 
     tags: DataFrame
@@ -77,12 +78,14 @@ class TagCount:
     factors: DataFrame
 
     @classmethod
-    def fit(cls, ratings: DataFrame, tags: DataFrame, genres: DataFrame, centers: DataFrame | None = None) -> TagCount:
+    def fit(cls, ratings: DataFrame, tags: DataFrame, genres: DataFrame, centers: DataFrame | None = None, variant: str = "full") -> TagCount:
+        research = variant == "research"
         centers = item_stats(ratings).select("item_id", "center") if centers is None else centers
         of_tags, of_genres = saved(tag_profile(ratings, tags)), saved(genre_profile(ratings, genres))
         rows = saved(profile_dots(ratings, tags, genres, of_tags, of_genres).join(centers, "item_id").withColumn("y", F.col("rating") - F.col("center")))
-        first = least_squares(rows.where("tag_dot > 0.1").select("user_id", F.array("tag_dot", "genre_dot", F.lit(1.0)).alias("x"), "y"), "user_id", 3, 3)
-        second = least_squares(rows.select("user_id", F.array("genre_dot", F.lit(1.0)).alias("x"), "y"), "user_id", 2, 2)
+        first = least_squares(rows.where("tag_dot > 0.1").select("user_id", F.array("tag_dot", "genre_dot", F.lit(1.0)).alias("x"), "y"), "user_id", 3, 1 if research else 3)
+        rest = rows.where("tag_dot <= 0.1") if research else rows
+        second = least_squares(rest.select("user_id", F.array("genre_dot", F.lit(1.0)).alias("x"), "y"), "user_id", 2, 1 if research else 2)
         both = second.select("user_id", F.col("coef").alias("x1")).join(first.select("user_id", F.col("coef").alias("x0")), "user_id", "full")
         return cls(tags, genres, centers, of_tags, of_genres, saved(both))
 
@@ -110,12 +113,12 @@ def factor_counts(ratings: DataFrame, tags: DataFrame, genres: DataFrame) -> Dat
     return by_genre.unionByName(by_tag).select("user_id", "kind", "name", "n")
 
 
-def factor_profile(ratings: DataFrame, tags: DataFrame, genres: DataFrame) -> DataFrame:
-    """(user_id, slot, kind, name): the user's most frequent genres and tags, as many as the number of ratings pays for; ties: tags first, then the larger name."""
+def factor_profile(ratings: DataFrame, tags: DataFrame, genres: DataFrame, less: int = 0) -> DataFrame:
+    """(user_id, slot, kind, name): the user's most frequent genres and tags, as many as the number of ratings pays for, or ``less`` fewer; ties: tags first, then the larger name."""
     rated = ratings.groupBy("user_id").agg(num_factors(F.count("*")).alias("k"))
     order = Window.partitionBy("user_id").orderBy(F.desc("n"), F.desc(F.col("kind") == "tag"), F.desc("name"))
     ranked = factor_counts(ratings, tags, genres).withColumn("slot", F.row_number().over(order) - 1)
-    return ranked.join(rated, "user_id").where(F.col("slot") < F.col("k")).select("user_id", "slot", "kind", "name")
+    return ranked.join(rated, "user_id").where(F.col("slot") < F.col("k") - less).select("user_id", "slot", "kind", "name")
 
 
 @dataclasses.dataclass
@@ -143,9 +146,9 @@ class TagLS:
         return pairs.join(met, ["user_id", "item_id"], "left").withColumn("x", F.concat(F.when(F.col("m").isNull(), blank).otherwise(slots), F.array(F.lit(1.0)))).drop("m")
 
     @classmethod
-    def fit(cls, ratings: DataFrame, tags: DataFrame, genres: DataFrame, centers: DataFrame | None = None) -> TagLS:
+    def fit(cls, ratings: DataFrame, tags: DataFrame, genres: DataFrame, centers: DataFrame | None = None, less: int = 0) -> TagLS:
         centers = item_stats(ratings).select("item_id", "center") if centers is None else centers
-        profile = saved(factor_profile(ratings, tags, genres))
+        profile = saved(factor_profile(ratings, tags, genres, less))
         design = cls._rows(ratings, profile, tags, genres).join(centers, "item_id").select("user_id", "x", (F.col("rating") - F.col("center")).alias("y"))
         return cls(tags, genres, centers, profile, saved(least_squares(design, "user_id", cls.WIDTH).select("user_id", "coef")))
 

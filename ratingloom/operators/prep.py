@@ -54,12 +54,12 @@ def _draw(seed: int, attempt: int) -> Column:
     return F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed)), F.lit(str(attempt))))
 
 
-def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int = 5) -> DataFrame:
+def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int = 5, varied: bool = True) -> DataFrame:
     """ratings with ``split``: 'train' for floor(n * ratio) of each user's ratings, drawn by hash, and 'test' for the rest.
 
     Users with ceil(2 / (1 - ratio)) ratings or fewer are dropped, and so are those whose test ratings
-    are all equal in each of ``attempts`` draws; the first draw that isn't so counts. All draws are
-    ranked over one partitioning by user.
+    are all equal in each of ``attempts`` draws; the first draw that isn't so counts. Without varied the
+    first draw counts for all. All draws are ranked over one partitioning by user.
     """
     import math
 
@@ -71,7 +71,8 @@ def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int
         rows = rows.withColumn(f"__t{attempt}", F.row_number().over(whole.orderBy(_draw(seed, attempt), "item_id")) > keep)
     for attempt in reversed(range(attempts)):
         tested = F.when(F.col(f"__t{attempt}"), F.col("rating"))
-        chosen = F.when(F.min(tested).over(whole) < F.max(tested).over(whole), F.col(f"__t{attempt}")).otherwise(chosen)
+        good = F.min(tested).over(whole) < F.max(tested).over(whole) if varied else F.lit(True)
+        chosen = F.when(good, F.col(f"__t{attempt}")).otherwise(chosen)
     named = rows.withColumn("__test", chosen).where("__test is not null")
     return named.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*ratings.columns, "split")
 
@@ -81,6 +82,17 @@ def varied_users(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(F.min("rating").alias("a"), F.max("rating").alias("b")).where("a < b").select("user_id")
 
 
+def rating_levels(ratings: DataFrame) -> DataFrame:
+    """(user_id, rating, items): the items of each of a user's ratings; sorted by rating they are the user's levels."""
+    return ratings.groupBy("user_id", "rating").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+
+
+def mismatches(items: DataFrame, expected: DataFrame) -> DataFrame:
+    """(item_id, title, expected): expected titles (item_id, title) that items lack or have otherwise; none if the data are as expected."""
+    named = expected.select("item_id", F.col("title").alias("expected")).join(items.select("item_id", "title"), "item_id", "left")
+    return named.where(~F.col("title").eqNullSafe(F.col("expected"))).select("item_id", "title", "expected")
+
+
 def kcore(train: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
     """The largest part of train in which each user has k + 1 ratings and each item k, at least.
 

@@ -181,3 +181,25 @@ def test_tune_brings_the_second_to_the_top(spark):
     genres = spark.createDataFrame([(i, "g") for i in range(6)], "item_id long, genre string")
     point, limit = similar.tune(spark.createDataFrame(rows, RATINGS), genres, 0, 3, 5)
     assert point >= 3 and 0 < limit < 2.5 and not math.isnan(limit)
+
+
+def test_research_variants(spark):
+    schema = "user_id long, item_id long, rating double, prediction double"
+    level = spark.createDataFrame([(1, 1, 4.0, 1.0), (1, 2, 4.0, 2.0), (2, 1, 4.0, 2.0)], schema)
+    assert [tuple(r) for r in agreement.rank_agreement(level, single_level=True).collect()] == [(1, 1.0, 0)]
+    flat = spark.createDataFrame([(3, i, 3.0) for i in range(30)], RATINGS)
+    assert prep.split(flat, attempts=1, varied=False).where("split = 'test'").count() == 6
+    ratings = spark.createDataFrame([(1, i, 1.0 + i % 5) for i in range(10)], RATINGS)
+    genres = spark.createDataFrame([(i, f"g{i % 3}") for i in range(10)], "item_id long, genre string")
+    tags = spark.createDataFrame([(i, f"t{i % 2}", 1.0, 5) for i in range(10)], "item_id long, tag string, weight double, n long")
+    assert models.factor_profile(ratings, tags, genres, less=1).count() == models.factor_profile(ratings, tags, genres).count() - (5 == models.factor_profile(ratings, tags, genres).count())
+    research = models.TagCount.fit(ratings, tags, genres, variant="research").factors.first()
+    assert research["x1"] is not None
+
+
+def test_levels_and_mismatches(spark):
+    ratings = spark.createDataFrame([(1, 1, 4.0), (1, 2, 4.0), (1, 3, 2.0)], RATINGS)
+    assert [(r["rating"], r["items"]) for r in prep.rating_levels(ratings).orderBy(F.desc("rating")).collect()] == [(4.0, [1, 2]), (2.0, [3])]
+    titles = spark.createDataFrame([(1, "A"), (2, "B")], "item_id long, title string")
+    expected = spark.createDataFrame([(1, "A"), (2, "X"), (3, "C")], "item_id long, title string")
+    assert sorted(r["item_id"] for r in prep.mismatches(titles, expected).collect()) == [2, 3]
