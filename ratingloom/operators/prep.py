@@ -59,22 +59,31 @@ def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int
 
     Users with ceil(2 / (1 - ratio)) ratings or fewer are dropped, and so are those whose test ratings
     are all equal in each of ``attempts`` draws; the first draw that isn't so counts. Without varied the
-    first draw counts for all. All draws are ranked over one partitioning by user.
+    first draw counts for all. Only the users whose first draw failed are ranked for the others, over the
+    same partitioning.
     """
     import math
 
     whole = Window.partitionBy("user_id")
+
+    def drawn(rows: DataFrame, of: range) -> DataFrame:
+        """rows with __test: the first of these attempts whose test ratings differ; null if there is none."""
+        chosen = F.lit(None).cast("boolean")
+        for attempt in of:
+            rows = rows.withColumn(f"__t{attempt}", F.row_number().over(whole.orderBy(_draw(seed, attempt), "item_id")) > F.floor(F.col("__n") * ratio))
+        for attempt in reversed(of):
+            tested = F.when(F.col(f"__t{attempt}"), F.col("rating"))
+            good = F.min(tested).over(whole) < F.max(tested).over(whole) if varied else F.lit(True)
+            chosen = F.when(good, F.col(f"__t{attempt}")).otherwise(chosen)
+        return rows.withColumn("__test", chosen)
+
     rows = ratings.withColumn("__n", F.count("*").over(whole)).where(F.col("__n") > math.ceil(2 / (1 - ratio)))
-    keep = F.floor(F.col("__n") * ratio)
-    chosen = F.lit(None).cast("boolean")
-    for attempt in range(attempts):
-        rows = rows.withColumn(f"__t{attempt}", F.row_number().over(whole.orderBy(_draw(seed, attempt), "item_id")) > keep)
-    for attempt in reversed(range(attempts)):
-        tested = F.when(F.col(f"__t{attempt}"), F.col("rating"))
-        good = F.min(tested).over(whole) < F.max(tested).over(whole) if varied else F.lit(True)
-        chosen = F.when(good, F.col(f"__t{attempt}")).otherwise(chosen)
-    named = rows.withColumn("__test", chosen).where("__test is not null")
-    return named.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*ratings.columns, "split")
+    first = drawn(rows, range(1))
+    out = first.where("__test is not null").select(*ratings.columns, "__test")
+    if attempts > 1 and varied:
+        again = drawn(first.where("__test is null").select(*ratings.columns, "__n"), range(1, attempts))
+        out = out.unionByName(again.where("__test is not null").select(*ratings.columns, "__test"))
+    return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
 def varied_users(ratings: DataFrame) -> DataFrame:
