@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import slices
+
 #: Boxes of the ISO base media format that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: Bytes of a stored sample, samples of a chunk, and ticks a second.
@@ -210,7 +212,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             media = [build(b + bytes(max(1, -(-len(b) // SAMPLE)) * SAMPLE - len(b))) for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -244,7 +246,7 @@ def probe(media: DataFrame, media_col: str = "media") -> DataFrame:
     types = pa.schema([("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))), ("fault", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.RecordBatch.from_pylist([describe(x) for x in batch.column(at).to_pylist()], types)
             yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*batch.schema.names, *types.names])
 
@@ -256,7 +258,7 @@ def digests(media: DataFrame) -> DataFrame:
     """For rows of store() and probe(): sizes and digests of the stored file and of the payload that its samples hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             files = batch.column("media").to_pylist()
             held = [payload(x) for x in files]
             sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())

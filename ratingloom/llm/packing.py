@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import saved, slices
 from .word_tokens import WordEncoder
 
 #: Pieces in a packing group, about.
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids, bounds = encoder.encode(batch.column(1), end_id)
             n = np.diff(bounds)
             count = -(-n // capacity)

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import slices
+
 
 #: Bytes of a text whose difference counts half: a few bytes of one word say little.
 SHORT = 100
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -170,7 +172,7 @@ def accepted(docs: DataFrame, model: CompressionModel, threshold: float = 0.5, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(own.scores(batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

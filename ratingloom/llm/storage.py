@@ -61,6 +61,13 @@ def new_file(uri: str):
     files.move(draft, path)
 
 
+def slices(batches, rows: int = 1024):
+    """Record batches of at most ``rows`` rows: what is made from a batch of texts is several times its size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def put(uri: str, chunks) -> int:
     """Write chunks of bytes to a file that appears whole or not at all; the number of bytes."""
     n = 0

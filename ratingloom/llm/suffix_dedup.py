@@ -35,7 +35,7 @@ from .storage import new_file, new_folder, open_fs, stored
 from .windows import Hasher, anchors
 
 #: Bytes of text in a slice.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 _ROWS = pa.schema([("key", pa.int64()), ("slice", pa.int64()), ("ref", pa.int32()), ("weight", pa.int32()), ("wanted", pa.int32())])
 _ROWS_DDL = "key bigint, slice bigint, ref int, weight int, wanted int"
 _REFS = pa.schema([("slice", pa.int64()), ("ref", pa.int32())])

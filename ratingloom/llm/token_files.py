@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .storage import new_folder, open_fs, put
+from .storage import new_folder, open_fs, put, slices
 from .word_tokens import WordEncoder
 
 MAGIC = b"RLTOK1\n\0"
@@ -43,7 +43,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
         encoder = WordEncoder.of(vocabulary)
         lengths, ids, missing = [], [], 0
         part = TaskContext.get().partitionId()
-        batches = (b for b in batches if b.num_rows)
+        batches = slices(batches)
         first = next(batches, None)
         if first is None:
             return
