@@ -46,6 +46,11 @@ def cards(items: DataFrame, titles: DataFrame, extra: DataFrame, rated: DataFram
     return out.fillna("None", ["title", "tmdb_id", "poster_url"]).fillna(0.0, ["rating"])
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def rated(ratings: DataFrame, titles: DataFrame, user_id: int) -> DataFrame:
     """(item_id, title, rating) of a user's ratings: best first, then by title."""
     own = ratings.where(F.col("user_id") == user_id).join(titles.select("item_id", "title"), "item_id", "left")

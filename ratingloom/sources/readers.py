@@ -41,6 +41,16 @@ def latest(ratings: DataFrame, order: str) -> DataFrame:
     return ratings.groupBy("user_id", "item_id").agg(F.max_by("rating", order).alias("rating"))
 
 
+def synthetic_ratings(spark: SparkSession, users: int, items: int, k: int = 3, noise: float = 0.1, low: float = -2.0, high: float = 2.0, seed: int = 42) -> DataFrame:
+    """(user_id, item_id, rating): every user's rating of every item, from k factors of each that are drawn by hash between low and high, and normal noise."""
+    rows = spark.range(users * items).select(F.floor(F.col("id") / items).alias("user_id"), (F.col("id") % items).alias("item_id"))
+    draw = lambda key, side, i: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(side), F.lit(i)), F.lit(1_000_001)) / 1_000_000.0 * (high - low) + low
+    value = F.randn(seed) * noise
+    for i in range(k):
+        value = value + draw("user_id", 0, i) * draw("item_id", 1, i)
+    return rows.withColumn("rating", value)
+
+
 def item_genres(items: DataFrame) -> DataFrame:
     """(item_id, genre): one row for each genre of an item, in lower case, without the sentinel."""
     each = items.select("item_id", F.explode(F.split(F.lower("genres"), r"\|")).alias("genre"))

@@ -203,3 +203,14 @@ def test_levels_and_mismatches(spark):
     titles = spark.createDataFrame([(1, "A"), (2, "B")], "item_id long, title string")
     expected = spark.createDataFrame([(1, "A"), (2, "X"), (3, "C")], "item_id long, title string")
     assert sorted(r["item_id"] for r in prep.mismatches(titles, expected).collect()) == [2, 3]
+
+
+def test_synthetic_ratings_and_json(spark):
+    rows = readers.synthetic_ratings(spark, 30, 20, noise=0.0)
+    assert rows.count() == 600
+    matrix = np.zeros((30, 20))
+    for r in rows.collect():
+        matrix[r["user_id"], r["item_id"]] = r["rating"]
+    assert np.linalg.matrix_rank(matrix, tol=1e-6) == 3
+    df = spark.createDataFrame([(1, None)], "movie_id long, title string")
+    assert serving.as_json(df).first()["value"] == '{"movie_id":1,"title":null}'
