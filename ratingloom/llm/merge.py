@@ -202,10 +202,10 @@ def _chained(parts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
 def merged(blocks: DataFrame, consume: Callable[[Iterator[tuple[int, bytes, bytes]]], Iterable[tuple | None]], schema: pa.Schema, ddl: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """What consume(items) gives, as rows of ``schema``, for each range of the blocks' keys.
 
-    items are (common prefix with the key before in this range, key, value) in ascending order; the
-    partitions' ranges ascend too where one task takes one range, and equal keys are always in one
-    range. ``blocks`` should be a saved table, as it is read twice. A task holds the compressed blocks
-    of one range; a key that many runs hold counts once in each, so runs should fold equal keys.
+    items are (common prefix with the key before in this range, key, value) in ascending order. A task
+    takes one range, and the ranges of the partitions ascend; equal keys are always in one range.
+    ``blocks`` should be a saved table, as it is read twice. A task holds the compressed blocks of its
+    range; a key that many runs hold counts once in each, so runs should fold equal keys.
     """
     splitters = _splitters(blocks, range_bytes)
 
@@ -230,5 +230,5 @@ def merged(blocks: DataFrame, consume: Callable[[Iterator[tuple[int, bytes, byte
         return batches(rows(), schema, 1024)
 
     n = max(1, len(splitters) + 1)
-    cut = _cut(blocks, splitters).repartition(n, "range").sortWithinPartitions("range", "run", "block")
+    cut = _cut(blocks, splitters).repartitionById(n, "range").sortWithinPartitions("range", "run", "block")
     return cut.mapInArrow(run, ddl)

@@ -128,7 +128,9 @@ def _per_slice(refs: DataFrame, slices: DataFrame, run: Callable[[int, np.ndarra
             yield from run(now, np.concatenate(held))
 
     parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return refs.unionByName(slices).repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(each, ddl)
+    # Slices are numbered by the partitions that they came from, and so are dealt evenly.
+    place = F.pmod(F.shiftright("slice", 24) + F.col("slice").bitwiseAND(F.lit((1 << 24) - 1)) * 7919, F.lit(parts)).cast("int")
+    return refs.unionByName(slices).repartitionById(parts, place).sortWithinPartitions("slice").mapInArrow(each, ddl)
 
 
 def _fold(texts: list[memoryview], text: np.ndarray, start: np.ndarray, stop: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
