@@ -251,7 +251,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = _arrow_type(own)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(ranks)
-    coded = _coded(own, pattern, folder, 4 * parts).repartition(parts, "part").sortWithinPartitions("part")
+    coded = _coded(own, pattern, folder, parts).repartitionById(parts, "part").sortWithinPartitions("part")
     pieces = coded.mapInArrow(_gathered, "piece string, chunks array<bigint>, codes array<int>")
     short = F.octet_length("piece") <= FOLD_BYTES
     found = pieces.select(F.when(short, piece_ids(F.col("piece"), ranks)).alias("ids"), F.when(~short, F.col("piece")).alias("piece"), "chunks", "codes")
@@ -305,7 +305,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[at], pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), lists], ["doc_id", "ids"])
 
-    blobs = found.mapInArrow(dealt, "chunk bigint, blob binary").repartition(parts, "chunk").sortWithinPartitions("chunk")
+    # Chunks are numbered by the partitions that they came from, and so are dealt evenly.
+    place = F.pmod(F.shiftright("chunk", 24) + F.col("chunk").bitwiseAND(F.lit((1 << 24) - 1)) * 7919, F.lit(parts)).cast("int")
+    blobs = found.mapInArrow(dealt, "chunk bigint, blob binary").repartitionById(parts, place).sortWithinPartitions("chunk")
     return blobs.mapInArrow(assembled, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
