@@ -194,7 +194,7 @@ def capture_runs(archives: DataFrame, file_col: str = "file") -> DataFrame:
                 yield run.end()
 
     files = archives.select(file_col)
-    return files.repartition(max(1, files.count()), file_col).mapInArrow(lambda found: batches(rows(found), BLOCKS), BLOCKS_DDL)
+    return files.repartition(max(1, files.count())).mapInArrow(lambda found: batches(rows(found), BLOCKS), BLOCKS_DDL)
 
 
 ENTRIES = pa.schema(
