@@ -61,7 +61,7 @@ def new_file(uri: str):
     files.move(draft, path)
 
 
-def slices(batches, rows: int = 1024):
+def slices(batches, rows: int = 2048):
     """Record batches of at most ``rows`` rows: what is made from a batch of texts is several times its size."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):

@@ -21,7 +21,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Words for which NFC changes nothing and lower-casing goes letter by letter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
 #: Entries that a worker process keeps at most in either of its caches.
-KEPT = 120_000
+KEPT = 250_000
 
 
 def byte_letters() -> list[str]:
