@@ -15,7 +15,7 @@ one link from each member to the smallest one keeps the group connected (linear,
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,12 +139,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row for each row of docs. A null doc_id keeps its row and takes part, but never names a
     component unless all its members' ids are null. An empty table gives an empty result.
     """
-    fps = saved(fingerprints(docs, id_col, text_col, width))
+    return named(saved(fingerprints(docs, id_col, text_col, width)), lambda classes: fingerprint_links(classes, distance, dense))
+
+
+def named(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp), by the links (a, b) that are found between distinct fps."""
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = saved(components(fingerprint_links(classes, distance, dense)))
+    roots = saved(components(links(classes)))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -152,6 +156,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns stay as they are; of rows that repeat the kept doc_id one stays. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return kept(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def kept(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without those that near (doc_id, component_id) puts into a component of a smaller id."""
+    found = near.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    with_id = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return with_id.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
