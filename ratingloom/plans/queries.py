@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,32 +264,42 @@ def tag_ls_params(spark, sf_dir):
     return models.TagLS.fit(testdata.ratings(spark, sf_dir), _item_tags(spark, sf_dir), _genres(spark, sf_dir)).params()
 
 
+#: The numbers of factors that the reference fits.
+ALS_FACTORS = (3, 5, 7, 9, 11)
+
+
+def _by_k(rows: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of each number of factors, which is column k."""
+    return reduce(DataFrame.unionByName, (rows(k).withColumn("k", F.lit(k)) for k in ALS_FACTORS))
+
+
 @query
 def als_fit(spark, sf_dir):
-    return models.ALS.fit(_split(spark, sf_dir)[0], 3).items
+    train = _split(spark, sf_dir)[0]
+    return _by_k(lambda k: models.ALS.fit(train, k).items)
 
 
 @query
 def als_predict(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return models.ALS.fit(train, 3).transform(test)
+    return _by_k(lambda k: models.ALS.fit(train, k).transform(test))
 
 
 @query
 def als_eval_by_k(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = None
-    for k in (3, 5, 7):
+
+    def row(k):
         model = models.ALS.fit(train, k)
-        row = agreement.summarize(agreement.rank_agreement(model.transform(test))).select(F.lit(k).alias("k"), F.lit(model.rounds).alias("rounds"), "users", "mean", "trimmed_mean")
-        out = row if out is None else out.unionByName(row)
-    return out
+        return agreement.summarize(agreement.rank_agreement(model.transform(test))).select(F.lit(model.rounds).alias("rounds"), "users", "mean", "trimmed_mean")
+
+    return _by_k(row).select("k", "rounds", "users", "mean", "trimmed_mean")
 
 
 @query
 def als_fold_in(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return models.ALS.fit(train, 3).fold_in(test, center=True).params()
+    return _by_k(lambda k: models.ALS.fit(train, k).fold_in(test, center=True).params())
 
 
 def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> search.Index:

@@ -20,3 +20,8 @@ def test_entry_imports_and_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_als_covers_all_numbers_of_factors(spark, sf_dir):
+    rows = QUERIES["als_eval_by_k"](spark, sf_dir).collect()
+    assert [r["k"] for r in rows] == [3, 5, 7, 9, 11]
