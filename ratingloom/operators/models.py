@@ -178,7 +178,7 @@ class ALS:
     sse: float
 
     @classmethod
-    def fit(cls, ratings: DataFrame, k: int = 3, centers: DataFrame | None = None, core: bool = True, seed: int = 42, min_rounds: int = 4, max_rounds: int = 30, gain: float = 0.01) -> ALS:
+    def fit(cls, ratings: DataFrame, k: int = 3, centers: DataFrame | None = None, core: bool = True, seed: int = 42, min_rounds: int = 4, max_rounds: int = 200, gain: float = 0.01) -> ALS:
         """Fitted on the k-core of ratings, unless core is False."""
         centers = item_stats(ratings).select("item_id", "center") if centers is None else centers
         used = kcore(ratings, k) if core else ratings

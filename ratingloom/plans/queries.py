@@ -405,7 +405,8 @@ def column_counts(spark, sf_dir):
 def cg_least_squares(spark, sf_dir):
     m = _matrix(spark, sf_dir)
     b = linalg.spmv(m, _vector(m.select(F.col("j").alias("i"))))
-    return linalg.cg_least_squares(m, b, max_iter=10)[0]
+    x, iterations, final_rr = linalg.cg_least_squares(m, b)
+    return x.withColumns({"iterations": F.lit(iterations), "final_rr": F.lit(float(final_rr))})
 
 
 @query

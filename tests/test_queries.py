@@ -25,3 +25,8 @@ def test_entry_imports_and_runs(spark):
 def test_als_covers_all_numbers_of_factors(spark, sf_dir):
     rows = QUERIES["als_eval_by_k"](spark, sf_dir).collect()
     assert [r["k"] for r in rows] == [3, 5, 7, 9, 11]
+
+
+def test_least_squares_tells_whether_it_converged(spark, sf_dir):
+    rows = QUERIES["cg_least_squares"](spark, sf_dir).select("iterations", "final_rr").distinct().collect()
+    assert len(rows) == 1 and 10 < rows[0]["iterations"] <= 200 and rows[0]["final_rr"] is not None
