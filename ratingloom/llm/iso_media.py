@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from .storage import slices
 
-#: Boxes of the ISO base media format that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes of the ISO base media format that hold boxes and lead to sample tables.
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
 #: Bytes of a stored sample, samples of a chunk, and ticks a second.
 SAMPLE, CHUNK, RATE = 64, 64, 8000
-PROBE_DDL = "codec string, duration double, n_samples bigint, keyframes array<struct<first: bigint, stop: bigint>>, fault string"
+_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
+_TRACK = [("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)]
+PROBE = pa.schema([*_TRACK, ("others", pa.list_(pa.struct(_TRACK))), ("fault", pa.string())])
+_TRACK_DDL = "codec string, duration double, n_samples bigint, keyframes array<struct<first: bigint, stop: bigint>>"
+PROBE_DDL = f"{_TRACK_DDL}, others array<struct<{_TRACK_DDL.replace(' string', ': string').replace(' double', ': double').replace('n_samples bigint', 'n_samples: bigint').replace('keyframes array', 'keyframes: array')}>>, fault string"
 
 
 def boxes(data: memoryview, start: int = 0, stop: int | None = None) -> Iterator[tuple[bytes, int, int]]:
@@ -111,7 +115,18 @@ def _table(track: Track, kind: bytes, data: memoryview, at: int, stop: int) -> N
         track.runs = _rows(data, at + 8, stop, ">u4", 3, count())
     elif kind == b"stsz":
         size, n = struct.unpack_from(">II", data, at + 4)
+        if size * n > len(data):
+            raise ValueError("samples do not fit the file")
         track.sizes = np.full(n, size, np.int64) if size else _rows(data, at + 12, stop, ">u4", 1, n)
+    elif kind == b"stz2":
+        bits, n = data[at + 7], count(8)
+        if bits not in (4, 8, 16):
+            raise ValueError("compact sizes of unknown width")
+        if bits == 4:
+            raw = _rows(data, at + 12, stop, ">u1", 1, -(-n // 2))
+            track.sizes = np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n]
+        else:
+            track.sizes = _rows(data, at + 12, stop, f">u{bits // 8}", 1, n)
     elif kind == b"stco":
         track.chunk_starts = _rows(data, at + 8, stop, ">u4", 1, count())
     elif kind == b"co64":
@@ -121,24 +136,31 @@ def _table(track: Track, kind: bytes, data: memoryview, at: int, stop: int) -> N
 
 
 def tracks(data: memoryview) -> list[Track]:
-    """The tracks of a file, by walking its boxes; media data is stepped over."""
+    """The tracks of a file, by walking its boxes depth first; media data is stepped over.
+
+    ValueError for a file whose samples are in movie fragments: those have no sample tables.
+    """
     found: list[Track] = []
-    todo = [(0, len(data))]
-    while todo:
-        start, stop = todo.pop(0)
-        for kind, a, b in boxes(data, start, stop):
-            if kind == b"trak":
-                found.append(Track())
-            if kind in CONTAINERS:
-                todo.append((a, b))
-                if kind in (b"trak", b"mdia", b"minf", b"stbl"):  # finish a track before the next
-                    todo.insert(0, todo.pop())
-            elif found:
-                try:
-                    _table(found[-1], kind, data, a, b)
-                except struct.error as e:
-                    raise ValueError(f"box {kind!r} is cut off") from e
-        # boxes of one track are walked depth first, so found[-1] is their track
+    open_: list[tuple[Iterator[tuple[bytes, int, int]], Track | None]] = [(boxes(data), None)]
+    while open_:
+        level, track = open_[-1]
+        box = next(level, None)
+        if box is None:
+            open_.pop()
+            continue
+        kind, a, b = box
+        if kind in (b"moof", b"mvex"):
+            raise ValueError("samples are in movie fragments")
+        if kind == b"trak":
+            track = Track()
+            found.append(track)
+        if kind in CONTAINERS:
+            open_.append((boxes(data, a, b), track))
+        elif track is not None:
+            try:
+                _table(track, kind, data, a, b)
+            except (struct.error, IndexError) as e:
+                raise ValueError(f"box {kind!r} is cut off") from e
     return found
 
 
@@ -221,18 +243,26 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
+def _described(track: Track, size: int) -> dict:
+    """A track's part of PROBE."""
+    ticks = int((track.times[:, 0] * track.times[:, 1]).sum()) if track.times is not None else track.duration
+    keys = track.keyframes()
+    if any(b > size for _, b in keys):
+        raise ValueError("samples lie behind the end of the file")
+    return {"codec": track.codec, "duration": ticks / track.timescale if track.timescale else None, "n_samples": len(track.sizes), "keyframes": [{"first": a, "stop": b} for a, b in keys]}
+
+
 def describe(data: bytes | None) -> dict:
-    """The columns of PROBE_DDL for one file, of its first track with samples; fault says what is wrong with it, if anything."""
-    out = {"codec": None, "duration": None, "n_samples": None, "keyframes": None, "fault": None}
+    """The columns of PROBE for one file: its first track with sample tables, and all further such ones; fault says what is wrong with it, if anything."""
+    out = dict.fromkeys(PROBE.names)
     if data is None:
         return out
     try:
-        of = next((t for t in tracks(memoryview(data)) if t.sizes is not None and t.chunk_starts is not None and t.runs is not None), None)
-        if of is None:
+        found = [t for t in tracks(memoryview(data)) if t.sizes is not None and t.chunk_starts is not None and t.runs is not None]
+        if not found:
             return out | {"fault": "no track with samples"}
-        keys = of.keyframes()
-        ticks = int((of.times[:, 0] * of.times[:, 1]).sum()) if of.times is not None else of.duration
-        return out | {"codec": of.codec, "duration": ticks / of.timescale if of.timescale else None, "n_samples": len(of.sizes), "keyframes": [{"first": a, "stop": b} for a, b in keys]}
+        first, *others = (_described(t, len(data)) for t in found)
+        return out | first | {"others": others}
     except ValueError as e:
         return out | {"fault": str(e)}
 
@@ -240,18 +270,24 @@ def describe(data: bytes | None) -> dict:
 def probe(media: DataFrame, media_col: str = "media") -> DataFrame:
     """media with the columns of PROBE_DDL after its own: codec, duration in seconds, samples, keyframe byte ranges.
 
-    Null gives nulls; what isn't a sound ISO media file gives nulls and a fault. Rows and other columns stay.
+    They are of the first track with sample tables; ``others`` has those of all further ones. Null gives
+    nulls; what isn't a sound ISO media file, or has its samples in fragments, gives nulls and a fault. Rows
+    and other columns stay, but for columns that are named like those of PROBE_DDL (in any case): they are
+    replaced, wherever they stood. The media column itself may not be named so.
     """
-    at = media.columns.index(media_col)
-    types = pa.schema([("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))), ("fault", pa.string())])
+    names = {n.lower() for n in PROBE.names}
+    if media_col.lower() in names:
+        raise ValueError(f"the media column may not be called {media_col}")
+    kept = [f for f in media.schema.fields if f.name.lower() not in names]
+    at = [f.name for f in kept].index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = pa.RecordBatch.from_pylist([describe(x) for x in batch.column(at).to_pylist()], types)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*batch.schema.names, *types.names])
+            found = pa.RecordBatch.from_pylist([describe(x) for x in batch.column(at).to_pylist()], PROBE)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*batch.schema.names, *PROBE.names])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields if f.name not in types.names)
-    return media.select(*(f for f in media.columns if f not in types.names)).mapInArrow(run, f"{ddl}, {PROBE_DDL}")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return media.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, ddl + PROBE_DDL)
 
 
 def digests(media: DataFrame) -> DataFrame:

@@ -11,17 +11,23 @@ import contextlib
 import os
 import tempfile
 import uuid
+import weakref
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is configured."""
+    """The session's checkpoint folder; a temporary one is set where none is configured and the master is local, elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ratingloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -42,7 +48,20 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """df computed once and kept as compressed Parquet on shared storage; for what is too large for saved()."""
     folder = new_folder(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _FOLDERS.pop(k, None)), folder)
+    return out
+
+
+#: Where the tables of stored() are, for as long as their DataFrames live.
+_FOLDERS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored() table; only for one that nothing will read again."""
+    _, folder = _FOLDERS.pop(id(df))
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -61,11 +80,31 @@ def new_file(uri: str):
     files.move(draft, path)
 
 
-def slices(batches, rows: int = 2048):
-    """Record batches of at most ``rows`` rows: what is made from a batch of texts is several times its size."""
+def cuts(sizes: np.ndarray, rows: int, most: int) -> list[tuple[int, int]]:
+    """(first, stop) of runs of at most ``rows`` rows and, unless one row has more, ``most`` in size."""
+    ends, out, i = np.cumsum(sizes), [], 0
+    while i < len(sizes):
+        before = int(ends[i - 1]) if i else 0
+        j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + most, "right"))))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's strings and binary values."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column).cast(pa.int64()), 0))
+    return size
+
+
+def slices(batches, rows: int = 2048, most: int = 32 << 20):
+    """Record batches of at most ``rows`` rows and, unless one row has more, ``most`` bytes of text: what is made from a batch of texts is several times its size."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        for i, j in cuts(_row_bytes(batch), rows, most):
+            yield batch.slice(i, j - i)
 
 
 def put(uri: str, chunks) -> int:

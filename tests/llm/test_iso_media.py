@@ -52,6 +52,85 @@ def test_faults_are_told(bad):
     assert iso_media.describe(None)["fault"] is None
 
 
+def _box(kind, *parts):
+    return struct.pack(">I4s", 8 + sum(map(len, parts)), kind) + b"".join(parts)
+
+
+def _film(*all_tracks, extra=b""):
+    """A film of tracks (codec, timescale, ticks of a sample, samples, sync samples), one chunk each, and what its probe must find."""
+    full = lambda kind, *p: _box(kind, bytes(4), *p)
+
+    def make(at):
+        out, places = b"", []
+        for codec, scale, ticks, samples, syncs in all_tracks:
+            starts = [at + sum(map(len, samples[:i])) for i in range(len(samples))]
+            stbl = [full(b"stsd", struct.pack(">I", 1), _box(codec, bytes(28))), full(b"stts", struct.pack(">III", 1, len(samples), ticks)), full(b"stsc", struct.pack(">IIII", 1, 1, len(samples), 1))]
+            stbl += [full(b"stsz", struct.pack(">II", 0, len(samples)), *(struct.pack(">I", len(x)) for x in samples)), full(b"stco", struct.pack(">II", 1, at))]
+            stbl += [full(b"stss", struct.pack(">I", len(syncs)), *(struct.pack(">I", k) for k in syncs))] if syncs is not None else []
+            mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, scale, ticks * len(samples), 0, 0))
+            out += _box(b"trak", full(b"tkhd", bytes(80)), _box(b"edts", full(b"elst", bytes(4))), _box(b"mdia", mdhd, _box(b"minf", full(b"smhd", bytes(4)), _box(b"stbl", *stbl))))
+            wanted = range(len(samples)) if syncs is None else [k - 1 for k in syncs]
+            places.append({"codec": codec.decode(), "duration": ticks * len(samples) / scale, "n_samples": len(samples), "keyframes": [{"first": starts[k], "stop": starts[k] + len(samples[k])} for k in wanted]})
+            at += sum(map(len, samples))
+        return _box(b"ftyp", b"isom", bytes(4)) + _box(b"moov", full(b"mvhd", bytes(96)), out, extra), places
+
+    payload = b"".join(x for t in all_tracks for x in t[3])
+    head = len(make(0)[0]) + 8
+    moov, places = make(head)
+    return moov + _box(b"mdat", payload), places
+
+
+_TRACKS = [(b"avc1", 600, 25, [b"k" * 50, b"p" * 9, b"p" * 7, b"k" * 44], [1, 4]), (b"mp4a", 44100, 1024, [b"s" * 8, b"t" * 6], None), (b"tx3g", 1000, 500, [b"u"], [1])]
+
+
+@pytest.mark.parametrize("order", [(0,), (0, 1), (1, 0), (2, 1, 0), (0, 1, 2)])
+def test_tracks_keep_their_own_tables(order):
+    media, want = _film(*(_TRACKS[i] for i in order))
+    found = iso_media.describe(media)
+    assert found == {**want[0], "others": want[1:], "fault": None}
+
+
+def test_fragments_and_impossible_tables_are_faults():
+    assert "fragments" in iso_media.describe(_film(_TRACKS[0], extra=_box(b"mvex", bytes(8)))[0])["fault"]
+    media = iso_media.build(bytes(640))
+    assert "fragments" in iso_media.describe(media + _box(b"moof", bytes(8)))["fault"]
+    assert "fit" in iso_media.describe(media.replace(struct.pack(">II", 64, 10), struct.pack(">II", 64, 1 << 31)))["fault"]
+
+
+def test_compact_sizes():
+    for bits, sizes in ((4, bytes([0x2F, 0x10])), (8, bytes([2, 15, 1])), (16, struct.pack(">HHH", 2, 15, 1))):
+        track = iso_media.Track()
+        data = memoryview(bytes(4) + bytes([0, 0, 0, bits]) + struct.pack(">I", 3) + sizes)
+        iso_media._table(track, b"stz2", data, 0, len(data))
+        assert track.sizes.tolist() == [2, 15, 1]
+
+
+@pytest.mark.parametrize("names", [("codec", "media", "id"), ("media", "codec", "id"), ("id", "Codec", "media"), ("fault", "media", "keyframes")])
+def test_clashing_columns_are_replaced(spark, names):
+    value = {"media": bytearray(iso_media.build(bytes(64))), "id": "7"}
+    df = spark.createDataFrame([tuple(value.get(n, "old") for n in names)], ", ".join(f"{n} {'binary' if n == 'media' else 'string'}" for n in names))
+    found = iso_media.probe(df)
+    assert found.columns == [n for n in names if n in value] + list(iso_media.PROBE.names)
+    row = found.first()
+    assert row["codec"] == "raw " and row["fault"] is None and row["n_samples"] == 1 and row["others"] == []
+    with pytest.raises(ValueError):
+        iso_media.probe(df.select(df["media"].alias("codec")), "codec")
+
+
+def test_batches_are_cut_by_bytes(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from ratingloom.llm.storage import cuts, slices
+
+    assert cuts(np.array([5, 5, 5, 30, 1, 1]), 4, 10) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * n for n in (5, 5, 5, 30, 1, 0)][:5] + [None])], ["i", "t"])
+    assert [b.num_rows for b in slices([batch], 4, 10)] == [2, 1, 1, 2]
+    docs = spark.range(6).selectExpr("id AS doc_id", "repeat(cast(id AS string), 3000000) AS text").coalesce(1)
+    for r in iso_media.digests(iso_media.probe(iso_media.store(docs))).collect():
+        assert r["n_bytes"] == 3_000_000 and r["payload_sha256"] == hashlib.sha256(str(r["doc_id"]).encode() * 3_000_000).hexdigest()
+
+
 def test_query_columns(spark):
     docs = documents(spark)
     rows = iso_media.digests(iso_media.probe(iso_media.store(docs))).collect()
