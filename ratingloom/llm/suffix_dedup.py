@@ -15,7 +15,8 @@ way; where even such a suffix equals no other as a whole, its windows are sorted
 only ever rule out: that a window is repeated is always decided by comparing its bytes.
 
 The corpus is kept once, as compressed slices on shared storage, and doesn't move; what moves are hashes
-with short references, and runs. No group is collected: of a key, a slice sends one row.
+with short references, and runs. No group is collected: of a key, a slice sends one row. Tables of
+references and runs are deleted when the next step has used them; the slices stay, as the result reads them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .merge import BLOCKS, BLOCKS_DDL, RunWriter, batches, merged
-from .storage import new_file, new_folder, open_fs, stored
+from .merge import BLOCKS, BLOCKS_DDL, RunWriter, batches, merged, reduced
+from .storage import cuts, dropped, new_file, new_folder, open_fs, stored
 from .windows import Hasher, anchors
 
 #: Bytes of text in a slice.
@@ -144,8 +145,13 @@ def _run(number: int, keys: list[bytes], many: np.ndarray) -> Iterator[pa.Record
     """The slice's run of sorted, front-coded strings."""
     writer = RunWriter(f"{number}")
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    rows = [writer.add(keys[i], struct.pack("<qi?", number, i, bool(many[i]))) for i in order]
-    yield from batches([*rows, writer.end()], BLOCKS)
+
+    def rows() -> Iterator[tuple | None]:
+        for i in order:
+            yield writer.add(keys[i], struct.pack("<qi?", number, i, bool(many[i])))
+        yield writer.end()
+
+    yield from batches(rows(), BLOCKS)
 
 
 def _equal(blocks: DataFrame) -> DataFrame:
@@ -165,7 +171,26 @@ def _equal(blocks: DataFrame) -> DataFrame:
                 if many:
                     yield number, 2 * of + 1
 
-    return stored(merged(stored(blocks, "runs"), consume, _REFS, _REFS_DDL), "equal")
+    def fold(items: Iterator[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
+        """Of equal strings the first stays, as one that occurs more than once; the others are told at once."""
+        held = None
+        for prefix, key, value in items:
+            number, of, many = struct.unpack("<qi?", value)
+            if held and prefix == len(key) == len(held[0]):
+                held[3] = True
+                yield False, number, 2 * of
+            else:
+                if held:
+                    yield True, held[0], struct.pack("<qi?", *held[1:])
+                held = [key, number, of, many]
+        if held:
+            yield True, held[0], struct.pack("<qi?", *held[1:])
+
+    runs, told = reduced(stored(blocks, "runs"), fold, _REFS, _REFS_DDL)
+    found = merged(runs, consume, _REFS, _REFS_DDL)
+    out = stored(found if told is None else found.unionByName(told), "equal")
+    dropped(runs)
+    return out
 
 
 def _slices(docs: DataFrame, text_col: str, folder: str, length: int, gram: int) -> DataFrame:
@@ -247,6 +272,7 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
         yield from _rows(np.concatenate([np.unique(key[lone]), key[speaks]]), number, np.concatenate([np.full(len(np.unique(key[lone])), _TOLD), speaks]), 2, np.repeat([1, 0], [len(np.unique(key[lone])), len(speaks)]))
 
     partners = _meeting_many(_per_slice(equal, slices, undecided, _ROWS_DDL))
+    dropped(equal)
 
     def single(number: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
@@ -260,6 +286,7 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
         yield from rows
 
     repeated = _meeting(_per_slice(partners, slices, single, _ROWS_DDL))
+    dropped(partners)
 
     def shorter(number: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
@@ -278,6 +305,7 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
         yield from _run(number, keys, many)
 
     equal_pieces = _equal(_per_slice(repeated, slices, shorter, BLOCKS_DDL))
+    dropped(repeated)
 
     def leftover(number: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
@@ -292,6 +320,7 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
         yield from _rows(np.concatenate([want, key[other[one]]]), number, np.concatenate([np.full(len(want), _TOLD), other[one]]), 2, np.repeat([1, 0], [len(want), len(one)]))
 
     needed = _meeting_many(_per_slice(equal_pieces, slices, leftover, _ROWS_DDL))
+    dropped(equal_pieces)
 
     def one_by_one(number: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
@@ -305,6 +334,7 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
         yield from _run(number, keys, many)
 
     equal_ones = _equal(_per_slice(needed, slices, one_by_one, BLOCKS_DDL))
+    dropped(needed)
 
     def result(number: int, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Slice(folder, number)
@@ -331,9 +361,11 @@ def _solve(docs: DataFrame, text_col: str, length: int, gram: int, finish: Calla
                 gone.append(np.stack([a[new], np.append(reach[:-1][new[1:]], reach[-1])], axis=1))
             else:
                 gone.append(_NOTHING)
-        rows = _load(f"{own.at}.rows")
-        for batch in rows.to_batches(1024):
-            yield finish(batch, texts, gone)
+        rows = _load(f"{own.at}.rows").combine_chunks()
+        length_of = np.array([len(t) for t in texts], np.int64)
+        for i, j in cuts(length_of[rows["index"].to_numpy()], 1024, 32 << 20):
+            for batch in rows.slice(i, j - i).to_batches():
+                yield finish(batch, texts, gone)
 
     return _per_slice(equal_ones, slices, result, ddl)
 
@@ -348,7 +380,9 @@ def _meeting_many(rows: DataFrame) -> DataFrame:
     """
     own = stored(rows, "asked")
     wanted = own.where("wanted > 0").select("key").distinct()
-    return stored(own.where("wanted = 0").join(wanted, "key", "left_semi").select("slice", "ref"), "met")
+    out = stored(own.where("wanted = 0").join(wanted, "key", "left_semi").select("slice", "ref"), "met")
+    dropped(own)
+    return out
 
 
 def _kept(text: memoryview, gone: np.ndarray) -> bytes:

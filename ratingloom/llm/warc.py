@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .merge import BLOCKS, BLOCKS_DDL, RunWriter, batches, merged
-from .storage import new_folder, open_fs, put, saved
+from .merge import BLOCKS, BLOCKS_DDL, RunWriter, batches, kept, merged, reduced
+from .storage import new_folder, open_fs, put, saved, stored
 
 #: An archive is closed at so many records or bytes before compression.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 16_384, 64 << 20
@@ -193,14 +193,16 @@ def capture_runs(archives: DataFrame, file_col: str = "file") -> DataFrame:
                     yield run.add(key, value)
                 yield run.end()
 
-    files = archives.select(file_col)
-    return files.repartition(max(1, files.count())).mapInArrow(lambda found: batches(rows(found), BLOCKS), BLOCKS_DDL)
+    files, context = archives.select(file_col), archives.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(max(1, min(files.count(), tasks))).mapInArrow(lambda found: batches(rows(found), BLOCKS), BLOCKS_DDL)
 
 
 ENTRIES = pa.schema(
     [("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     + [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 )
+_NO_ROWS = pa.schema([("none", pa.int32())])
 ENTRIES_DDL = "url_key string, captured_at string, page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, file string, offset bigint, length bigint"
 
 
@@ -213,4 +215,5 @@ def index(archives: DataFrame) -> DataFrame:
             url = key[: -17 - len(stamp)].decode("utf-8", "surrogatepass")
             yield url, stamp, int(page) if page else None, kind, int(to) if to else None, int(size), digest, uri, int(offset), int(length)
 
-    return merged(saved(capture_runs(archives)), consume, ENTRIES, ENTRIES_DDL)
+    runs, _ = reduced(stored(capture_runs(archives), "runs"), kept, _NO_ROWS, "none int")
+    return merged(runs, consume, ENTRIES, ENTRIES_DDL)

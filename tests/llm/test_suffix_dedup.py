@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from ratingloom.llm import suffix_dedup, windows
+from ratingloom.llm import merge, suffix_dedup, windows
 
 from .helpers import documents, hard_texts, nothing, words
 
@@ -24,14 +24,20 @@ def brute(texts, length):
     return out
 
 
+@pytest.fixture(params=[256, 3])
+def fan(request, monkeypatch):
+    """Runs that are merged at once: few of them make levels."""
+    monkeypatch.setattr(merge, "FAN", request.param)
+
+
 def check(spark, texts, length, parts=3):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
     rows = sorted(suffix_dedup.repeats(df, length).collect())
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows] == brute(texts, length)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_equals_brute_force_on_mosaics(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_equals_brute_force_on_mosaics(spark, monkeypatch, fan, seed):
     """Texts put together from shared stretches that overlap in many ways, over several slices."""
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 4000)
     rng = random.Random(seed)
