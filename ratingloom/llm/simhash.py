@@ -20,13 +20,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved, slices
 
 BITS = 64
 SEED = 42
+#: Keys that several fingerprints share are broadcast up to this number, and beyond it joined by a shuffle.
+BROADCAST = 500_000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -94,8 +96,10 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, dense: int = 256) -> Da
         .select("fp", F.col("w.way").alias("way"), F.col("fp").bitwiseAND(F.col("w.mask")).alias("key"),
                 F.when(F.col("w.out") == 0, F.lit(None).cast("boolean")).otherwise(F.col("fp").bitwiseAND(F.col("w.out")) != 0).alias("side"))
     )
-    # One exchange: nearly all keys hold one fingerprint, and only what meets another is kept.
-    met = saved(index.withColumn("n", F.count("*").over(Window.partitionBy("way", "key"))).where("n > 1"))
+    # Nearly all keys hold one fingerprint: they are counted by an aggregate, which adds up before it sends, and
+    # only what meets another is kept. The few shared keys are joined back, and Spark splits the hot ones.
+    shared = saved(index.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = saved(index.join(F.broadcast(shared) if shared.count() <= BROADCAST else shared, ["way", "key"]))
     sparse = met.where(F.col("n") <= dense)
     # A variant pairs those that have the left-out bit with those that lack it: pairs that agree in it also meet in the whole segment.
     left = sparse.where("side is null or not side").select("way", "key", F.col("fp").alias("a"))
@@ -110,15 +114,15 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, dense: int = 256) -> Da
     return pairs.unionByName(stars).distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach from each node that has a link.
 
-    Alternating large-star and small-star rounds until nothing changes; each round's links are kept
-    on shared storage. Raises if ``rounds`` do not suffice.
+    Alternating large-star and small-star rounds until nothing changes, which they always reach; each
+    round's links are kept on shared storage.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -130,7 +134,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         before = now
-    raise RuntimeError(f"links are still changing after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, dense: int = 256) -> DataFrame:

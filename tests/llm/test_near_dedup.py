@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 import xxhash
 
 from ratingloom.llm import simhash
@@ -35,7 +36,9 @@ def brute(rows):
     return sorted((doc, fps[i], min(x for x in groups[find(i)] if x is not None)) for i, (doc, _) in enumerate(rows) if doc is not None)
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST", broadcast)
     rng, rows = random.Random(5), []
     for i in range(150):
         base = words(i // 3, 40).split()
@@ -62,6 +65,11 @@ def test_dense_keys_lose_no_link(spark):
     assert parts[0] == parts[1]
 
 
+def test_long_chains_end_in_one_component(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(1000, 1001)], "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(links).collect()} == {**dict.fromkeys(range(501), 0), 1000: 1000, 1001: 1000}
+
+
 def test_one_of_each_keeps_columns(spark):
     docs = documents(spark)
     kept = simhash.one_of_each(docs)
