@@ -151,7 +151,7 @@ def _round(cut: DataFrame, capacity: int, group_size: int, number: int) -> DataF
     ddl = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, __filled bigint"
     return (
         cut.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-        .repartition("__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "piece")
+        .repartitionById(min(groups, 8 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "piece")
         .mapInArrow(run, ddl)
     )
 
