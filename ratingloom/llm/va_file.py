@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .storage import new_folder, open_fs, put, saved
 
-#: Vectors in a file; queries in a block; vectors whose bounds are held at once; files searched by one task.
+#: Vectors in a file; queries in a block; vectors whose bounds are held at once; files searched by one task at most.
 FILE_ROWS, BLOCK_ROWS, SCAN_ROWS, TASK_FILES = 1 << 15, 1024, 4096, 16
+#: Candidates of a block that are held before exact vectors are read; queries that a task takes of a block, at least; ids of one vector in a row.
+HELD, LEAST_QUERIES, ROW_IDS = 1 << 21, 64, 4096
 CELLS = 16
 _EXACT = float(1 << 53)
 
@@ -182,26 +184,48 @@ class _Best:
 
 
 def _search_file(file: ApproximationFile, queries: np.ndarray, best: _Best, batch: int = 32) -> None:
-    """Offer to ``best`` every vector of the file that can be among the k best of a query."""
+    """Offer to ``best`` every vector of the file that can be among the k best of a query.
+
+    Candidates that the bounds can't separate are not held without end: where HELD of them wait, their exact
+    vectors are read, which raises the floor for the rest of the file.
+    """
     n, k = len(queries), best.k
     floor = np.array([best.threshold(i) for i in range(n)])
     least_k = np.full((n, 0), -np.inf)
-    of_query, of_row, of_most = [], [], []
+    held: list[tuple[np.ndarray, ...]] = []
+    size, dims = 0, np.arange(file.dim)
+
+    def above() -> list[tuple[np.ndarray, ...]]:
+        """What still reaches the floor."""
+        q, row, most = (np.concatenate(x) for x in zip(*held))
+        stay = most >= floor[q]
+        return [(q[stay], row[stay], most[stay])]
+
     for start in range(0, file.rows, SCAN_ROWS):
         stop = min(file.rows, start + SCAN_ROWS)
-        cells, dims = file.cells(start, stop), np.arange(file.dim)
+        cells = file.cells(start, stop)
         least, most = _bounds(queries, file.marks[dims, cells], file.marks[dims, cells + 1])
         both = np.concatenate([least_k, least], axis=1)
         least_k = np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if both.shape[1] > k else both
         if least_k.shape[1] >= k:
             floor = np.maximum(floor, least_k.min(axis=1))
         q, row = np.nonzero(most >= floor[:, None])
-        of_query.append(q)
-        of_row.append(row + start)
-        of_most.append(most[q, row])
-    q, row, most = (np.concatenate(x) if x else np.zeros(0, int) for x in (of_query, of_row, of_most))
-    stay = most >= floor[q]
-    q, row, most = q[stay], row[stay], most[stay]
+        held.append((q, row + start, most[q, row]))
+        size += len(q)
+        if size > HELD:
+            held = above()
+            size = len(held[0][0])
+            if size > HELD // 2:
+                _read_best_first(file, queries, best, *held[0], batch)
+                floor = np.maximum(floor, [best.threshold(i) for i in range(n)])
+                held, size = [], 0
+    if held:
+        _read_best_first(file, queries, best, *above()[0], batch)
+
+
+def _read_best_first(file: ApproximationFile, queries: np.ndarray, best: _Best, q: np.ndarray, row: np.ndarray, most: np.ndarray, batch: int) -> None:
+    """Read exact vectors of candidates (query, row, upper bound) in the order of their bounds, until each query's k-th score is certain."""
+    n = len(queries)
     order = np.lexsort((row, -most, q))
     q, row, most = q[order], row[order], most[order]
     at, ends = np.searchsorted(q, np.arange(n)), np.searchsorted(q, np.arange(n), side="right")
@@ -221,6 +245,14 @@ def _search_file(file: ApproximationFile, queries: np.ndarray, best: _Best, batc
         active = np.array([i for i in active if at[i] < ends[i] and most[at[i]] >= best.threshold(i)], int)
 
 
+def dealt(files: int, blocks: int, cores: int) -> tuple[int, int]:
+    """(files of a task, shares that a block of queries is cut into): about four tasks a core, where there is enough to deal."""
+    wanted = 4 * cores
+    own = max(1, min(TASK_FILES, files * blocks // wanted))
+    tasks = max(1, blocks) * max(1, -(-files // own))
+    return own, max(1, min(-(-wanted // tasks), BLOCK_ROWS // LEAST_QUERIES))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", folder: str | None = None) -> DataFrame:
     """(query_id, rank, id, score): for each row that is_query names, the k rows of largest inner product, ties to the smaller id.
 
@@ -234,23 +266,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     folder = folder or new_folder(spark, "va")
     usable = saved(vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), vector_col, is_query.alias("__query")))
     files = write(folded(usable, k + 1, id_col, vector_col), f"{folder}/all", FILE_ROWS)
-    # queries: all ids of a vector, not only the smallest
+    # queries: all ids of a vector, not only the smallest, in rows of about ROW_IDS of them
     asked = usable.where("__query").select(F.col(vector_col).alias("vector"), F.col(id_col).alias("id")).distinct()
-    parts = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("vector", "salt").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    shared = asked.groupBy("vector").agg(F.count("*").alias("n")).where(F.col("n") > ROW_IDS)
+    salted = asked.join(shared, "vector", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / ROW_IDS), F.lit(1))))
+    parts = salted.groupBy("vector", "salt").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     blocks = write(parts.select("vector", "ids"), f"{folder}/queries", BLOCK_ROWS)
-    groups = [files[i : i + TASK_FILES] for i in range(0, len(files), TASK_FILES)]
+    groups, shares = dealt(len(files), len(blocks), spark.sparkContext.defaultParallelism)
+    groups = [files[i : i + groups] for i in range(0, len(files), groups)]
     sent = spark.sparkContext.broadcast((blocks, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_blocks, all_groups = sent.value
         for task in (t for batch in batches for t in batch.column(0).to_pylist()):
+            task, share = divmod(task, shares)
             block = ApproximationFile(all_blocks[task // len(all_groups)])
             queries, (offsets, ids) = block.everything(), block.ids()
             block.close()
+            first, stop = len(queries) * share // shares, len(queries) * (share + 1) // shares
+            queries, offsets = queries[first:stop], offsets[first : stop + 1]
             best = _Best(len(queries), k + 1)
             for uri in all_groups[task % len(all_groups)]:
                 file = ApproximationFile(uri)
-                if file.dim == queries.shape[1]:
+                if file.dim == queries.shape[1] and len(queries):
                     _search_file(file, queries, best)
                 file.close()
             for i in range(len(queries)):
@@ -265,7 +303,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     cols = [np.repeat(some, [len(x) for x, _ in found]), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found])]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["query_id", "id", "score"])
 
-    n = len(blocks) * len(groups)
+    n = len(blocks) * len(groups) * shares
     found = spark.range(0, n, 1, max(1, n)).mapInArrow(run, "query_id bigint, id bigint, score bigint")
     if n > 0:
         found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))

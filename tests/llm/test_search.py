@@ -30,6 +30,26 @@ def test_equals_brute_force_with_ties_and_copies(spark, monkeypatch):
     assert found(df, 20) == {q: v for q, v in brute(rows, 20).items() if v}
 
 
+@pytest.mark.parametrize("held", [0, 50])
+def test_held_candidates_are_bounded(spark, monkeypatch, held):
+    """Vectors that no bounds separate, many equal scores, and queries that share a vector."""
+    monkeypatch.setattr(va_file, "HELD", held)
+    monkeypatch.setattr(va_file, "SCAN_ROWS", 16)
+    monkeypatch.setattr(va_file, "ROW_IDS", 2)
+    monkeypatch.setattr(va_file, "LEAST_QUERIES", 1)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [int(x) for x in rng.integers(0, 2, 5)]) for i in range(300)] + [(i, [int(x) for x in rng.integers(-900, 900, 5)]) for i in range(300, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    assert found(df, 7) == brute(rows, 7)
+
+
+def test_tasks_are_at_least_as_many_as_cores():
+    assert va_file.dealt(2, 3, 6) == (1, 4) and va_file.dealt(10_000, 5_000, 4000) == (16, 1)
+    for files, blocks in ((1, 1), (0, 0), (3, 200), (200, 3)):
+        own, shares = va_file.dealt(files, blocks, 6)
+        assert 1 <= own <= va_file.TASK_FILES and 1 <= shares <= va_file.BLOCK_ROWS // va_file.LEAST_QUERIES
+
+
 def test_few_rows_other_lengths_and_large_values(spark):
     rows = [(0, [2**40, 1]), (1, [2**20, -5]), (2, [-(2**40), 3]), (20, [1, 2, 3]), (21, [1, 1, 1]), (40, [])]
     df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
