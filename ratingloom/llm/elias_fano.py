@@ -2,7 +2,8 @@
 
 Each value is cut into ``low`` bits, stored side by side, and a high part, stored in unary in a bit
 vector: about 2 + log2(universe / n) bits a value. Value i is read by select(i), the place of the
-i-th set bit, which starts from the nearest sampled set bit before it.
+i-th set bit, which starts from the nearest sampled set bit before it. A run of values is read by the
+two selects at its ends and the bits between them. Sampled places are kept as narrow as the bit vector needs.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ import struct
 import numpy as np
 
 SAMPLE = 256
-_HEAD = struct.Struct("<QqBQQ")
+_HEAD = struct.Struct("<QqBQQB")
+
+
+def _narrowest(most: int) -> np.dtype:
+    """The narrowest unsigned type that holds most."""
+    return np.dtype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
 
 
 class EliasFano:
-    """Encoded values; ``values[i]`` reads one and ``decode()`` all."""
+    """Encoded values; ``values[i]`` reads one, ``values.run(i, j)`` those from i up to j."""
 
     def __init__(self, n: int, base: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
         self.n, self.base, self.low, self.lows, self.highs, self.samples = n, base, low, lows, highs, samples
@@ -35,7 +41,7 @@ class EliasFano:
         places = (rest >> np.uint64(low)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         unary[places] = 1
-        return cls(n, base, low, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), places[::SAMPLE].astype("<u8"))
+        return cls(n, base, low, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), places[::SAMPLE].astype(_narrowest(len(unary))))
 
     def select(self, i: int) -> int:
         """The place of set bit i in the unary part."""
@@ -60,16 +66,24 @@ class EliasFano:
         part = int.from_bytes(self.lows[first // 8 : (first + self.low + 7) // 8].tobytes(), "little") >> first % 8
         return self.base + ((self.select(i) - i) << self.low | part & (1 << self.low) - 1)
 
-    def decode(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.int64)
-        return self.base + ((places - np.arange(self.n)) << self.low) + bits @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
+    def run(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the bits between select(i) and select(j - 1)."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        first, last = self.select(i), self.select(j - 1)
+        ones = np.unpackbits(self.highs[first // 8 : last // 8 + 1], bitorder="little")
+        places = np.flatnonzero(ones[first % 8 : last - first // 8 * 8 + 1]) + first
+        start, stop = i * self.low, j * self.low
+        bits = np.unpackbits(self.lows[start // 8 : (stop + 7) // 8], bitorder="little")[start % 8 : start % 8 + stop - start].reshape(j - i, self.low).astype(np.int64)
+        return self.base + ((places - np.arange(i, j)) << self.low) + bits @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(self.n, self.base, self.low, len(self.lows), len(self.highs)) + self.lows.tobytes() + self.highs.tobytes() + self.samples.tobytes()
+        return _HEAD.pack(self.n, self.base, self.low, len(self.lows), len(self.highs), self.samples.dtype.itemsize) + self.lows.tobytes() + self.highs.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, base, low, a, b = _HEAD.unpack_from(data)
+        n, base, low, a, b, width = _HEAD.unpack_from(data)
         start = _HEAD.size
-        return cls(n, base, low, np.frombuffer(data, np.uint8, a, start), np.frombuffer(data, np.uint8, b, start + a), np.frombuffer(data, "<u8", -(-n // SAMPLE), start + a + b))
+        return cls(n, base, low, np.frombuffer(data, np.uint8, a, start), np.frombuffer(data, np.uint8, b, start + a), np.frombuffer(data, f"<u{width}", -(-n // SAMPLE), start + a + b))

@@ -24,9 +24,9 @@ from .elias_fano import EliasFano
 from .storage import new_folder, open_fs, put, slices
 from .word_tokens import WordEncoder
 
-MAGIC = b"RLTOK1\n\0"
-#: Tokens that a reader holds at a time, unless one document has more.
-READ_TOKENS = 4 << 20
+MAGIC = b"RLTOK2\n\0"
+#: Tokens that a reader holds at a time, unless one document has more, and documents.
+READ_TOKENS, READ_DOCS = 4 << 20, 8192
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -83,7 +83,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
 
 
 class TokenFile:
-    """Random access to one file: len, document i's ids, and the decoded boundary and id lists."""
+    """Random access to one file: len, document i's ids, runs of documents; boundaries and ids stay as they are stored, and are selected from."""
 
     def __init__(self, uri: str):
         files, path = open_fs(uri)
@@ -115,14 +115,16 @@ class TokenFile:
     def close(self) -> None:
         self._in.close()
 
-
-def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of documents of READ_TOKENS tokens at most, one document at least."""
-    i, n = 0, len(bounds) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_TOKENS, "right")) - 1)
-        yield i, j
-        i = j
+    def walk(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """(document ids, their boundaries and the next one's) of runs of documents of READ_DOCS and READ_TOKENS at most, one document at least."""
+        i, n = 0, len(self)
+        while i < n:
+            bounds = self.boundaries.run(i, min(n, i + READ_DOCS) + 1)
+            j = i + max(1, int(np.searchsorted(bounds, bounds[0] + READ_TOKENS, "right")) - 1)
+            without = min(j, self.nulls) - min(i, self.nulls)
+            named = self.ids.run(max(i, self.nulls) - self.nulls, max(j, self.nulls) - self.nulls)
+            yield pa.concat_arrays([pa.nulls(without, pa.int64()), pa.array(named, pa.int64())]), bounds[: j - i + 1]
+            i = j
 
 
 def read(spark: SparkSession, manifest: str, digest_only: bool = False) -> DataFrame:
@@ -141,17 +143,16 @@ def read(spark: SparkSession, manifest: str, digest_only: bool = False) -> DataF
         for batch in batches:
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 file = TokenFile(uri)
-                bounds = file.boundaries.decode()
-                names = pa.concat_arrays([pa.nulls(file.nulls, pa.int64()), pa.array(file.ids.decode(), pa.int64())])
-                for i, j in _blocks(bounds):
-                    ids, at = file.tokens(bounds[i], bounds[j]), bounds[i : j + 1] - bounds[i]
+                for names, bounds in file.walk():
+                    ids, at = file.tokens(int(bounds[0]), int(bounds[-1])), bounds - bounds[0]
                     raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                     sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]
-                    cols = [names.slice(i, j - i), pa.array(before + bounds[i:j]), pa.array(np.diff(at)), pa.array(sums, pa.int64())]
+                    cols = [names, pa.array(before + bounds[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())]
                     if not digest_only:
                         cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
                 file.close()
 
     rows = [(x["file"], x["before"]) for x in listed]
-    return spark.createDataFrame(rows, "file string, before bigint").repartition(max(1, len(rows))).mapInArrow(run, ddl)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.createDataFrame(rows, "file string, before bigint").repartition(max(1, min(len(rows), tasks))).mapInArrow(run, ddl)

@@ -3,11 +3,13 @@
 Tokens of this kind of vocabulary never cross white space, so a batch of texts is cut at ASCII white
 space in Arrow, each distinct word of the batch is looked up once, and ids are gathered by index.
 Words of plain letters, digits and marks go to the file's own merge model piece by piece; any other
-word goes through the library's full encoder.
+word goes through the library's full encoder. A file that normalizes or cuts otherwise than this module
+knows is noticed when it is loaded: its texts go whole through the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -16,8 +18,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: The cut of the vocabulary file's pre-tokenizer, after lower-casing.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The cut of the vocabulary file's pre-tokenizer, after lower-casing; the settings that the cut at words relies on.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = regex.compile(CUT)
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
 #: Words for which NFC changes nothing and lower-casing goes letter by letter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
 #: Entries that a worker process keeps at most in either of its caches.
@@ -34,6 +42,17 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _cuts_at_words(file: dict) -> bool:
+    """Whether a vocabulary file has the settings that encoding word by word relies on."""
+    added = [t["content"] for t in file.get("added_tokens") or []]
+    model = file["model"]
+    plain = not model.get("dropout") and not model.get("fuse_unk") and model.get("unk_token") is None
+    return (
+        file.get("normalizer") == NORMALIZER and file.get("pre_tokenizer") == PRE_TOKENIZER and model.get("type") == "BPE" and plain
+        and not file.get("truncation") and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+    )
+
+
 class WordEncoder:
     """encode(texts) for Arrow string columns; one instance for each process and file."""
 
@@ -53,6 +72,8 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path).model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _cuts_at_words(json.load(f))
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -78,6 +99,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]], with ``end`` as its last id if given. Null is an empty text."""
+        if not self.by_words:
+            found = [np.array(self.whole.encode(t or "", add_special_tokens=False).ids + [end] * (end is not None), self.dtype) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.dtype), *found]), np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = np.asarray(lists.offsets).astype(np.int64)
         offsets -= offsets[0]

@@ -20,16 +20,22 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_elias_fano(values):
     values = sorted(values)
     coded = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.int64)).to_bytes())
-    assert coded.decode().tolist() == values and [coded[i] for i in range(len(coded))] == values
+    assert coded.run(0, len(values)).tolist() == values and [coded[i] for i in range(len(coded))] == values
+    for i in range(0, len(values) + 1, 37):
+        for j in (i, i + 1, i + 50, len(values)):
+            assert i > j or j > len(values) or coded.run(i, j).tolist() == values[i:j]
 
 
 def test_elias_fano_is_small_and_checks():
     values = np.cumsum(np.random.default_rng(1).integers(1, 2000, 100_000))
-    assert len(EliasFano.encode(values).to_bytes()) < 100_000 * 2
+    coded = EliasFano.encode(values)
+    assert len(coded.to_bytes()) < 100_000 * 2 and coded.samples.dtype.itemsize == 4
     with pytest.raises(ValueError):
         EliasFano.encode(np.array([2, 1]))
     with pytest.raises(IndexError):
         EliasFano.encode(np.array([1]))[1]
+    with pytest.raises(IndexError):
+        EliasFano.encode(np.array([1])).run(0, 2)
 
 
 def test_encoder_equals_the_library():
@@ -42,6 +48,50 @@ def test_encoder_equals_the_library():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+@pytest.mark.parametrize("change", ["case", "cut", "other"])
+def test_other_settings_are_noticed(tmp_path, change):
+    """Another vocabulary is encoded as the library does, not word by word as this one."""
+    import json
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    if change != "other":
+        with open(PATH, encoding="utf-8") as f:
+            file = json.load(f)
+        if change == "case":
+            file["normalizer"] = {"type": "NFC"}
+        else:
+            file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[a-z]+ [a-z]+|."
+        path = str(tmp_path / "vocabulary.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(file, f)
+    library, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    assert not encoder.by_words and WordEncoder.of(PATH).by_words
+    texts = ["The quick  Brown\nfox", None, "", "of the year"]
+    ids, bounds = encoder.encode(pa.array(texts), 7)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+
+
+@pytest.mark.parametrize(("docs_at_once", "tokens_at_once"), [(1, 1), (3, 40), (8192, 4 << 20)])
+def test_files_are_walked_by_select(spark, monkeypatch, docs_at_once, tokens_at_once):
+    monkeypatch.setattr(token_files, "READ_DOCS", docs_at_once)
+    monkeypatch.setattr(token_files, "READ_TOKENS", tokens_at_once)
+    rows = [(None, "no id"), (None, "x"), *((i * 3, "word " * (i % 7)) for i in range(30))]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH)
+    uri = sorted(r.name for r in __import__("pathlib").Path(manifest.removeprefix("file:").replace("//", "/", 1)).parent.glob("*.tok"))
+    seen, lengths = [], []
+    for name in uri:
+        file = token_files.TokenFile(manifest.rsplit("/", 1)[0] + "/" + name)
+        for names, bounds in file.walk():
+            assert len(names) <= docs_at_once and (len(names) == 1 or bounds[-1] - bounds[0] <= tokens_at_once)
+            seen += names.to_pylist()
+            lengths += np.diff(bounds).tolist()
+        assert [file.doc_id(i) for i in range(len(file))] == seen[-len(file) :] and [len(file[i]) for i in range(len(file))] == lengths[-len(file) :]
+        file.close()
+    assert seen == [d for d, _ in rows] and lengths == [3, 2] + [i % 7 + 1 for i in range(30)]
+
+
 def test_round_trip(spark):
     docs = documents(spark)
     library = Tokenizer.from_file(PATH)
