@@ -10,6 +10,7 @@ chunk's pieces go back to the chunk, which puts its documents together.
 from __future__ import annotations
 
 import base64
+import contextlib
 import heapq
 import json
 import zlib
@@ -84,7 +85,8 @@ def _lookup(table: Column, size: int, a: Column, b: Column) -> Column:
 
 def piece_ids(piece: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of a piece (a string of 1 to FOLD_BYTES bytes), by ranked merges from its bytes up; a piece that is a token is that token."""
-    pairs = cuckoo_table(pair_ranks(ranks))
+    merges = pair_ranks(ranks)
+    pairs = cuckoo_table(merges)
     literal = F.from_json(F.lit(json.dumps(pairs, separators=(",", ":"))), "array<bigint>")  # folded into one constant
     singles = F.array(*(F.lit(ranks.get(bytes([b]), -1)) for b in range(256)))
     spelt = F.hex(piece.cast("binary"))
@@ -116,13 +118,30 @@ def piece_ids(piece: Column, ranks: dict[bytes, int]) -> Column:
 
         return let(F.concat(edge, start, edge), run)
 
-    return let(literal, fold)
+    folded, whole = let(literal, fold), unreached(ranks, merges)
+    if not whole:
+        return folded
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in whole.items() for x in pair)), piece)
+    return F.when(known.isNotNull(), F.array(known)).otherwise(folded)
+
+
+def unreached(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> dict[str, int]:
+    """The tokens (as texts, as far as they are such) that merging their own bytes doesn't lead to; few or none in a trained vocabulary."""
+    out = {}
+    for token, rank in ranks.items():
+        with contextlib.suppress(UnicodeDecodeError):
+            if merged_ids(token, ranks, pairs) != [rank]:
+                out[token.decode()] = rank
+    return out
 
 
 def long_piece_ids(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
-    """As piece_ids, in time that grows little more than the piece: candidates for merging wait in a heap."""
-    if piece in ranks:
-        return [ranks[piece]]
+    """As piece_ids, in time that grows little more than the piece."""
+    return [ranks[piece]] if piece in ranks else merged_ids(piece, ranks, pairs)
+
+
+def merged_ids(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The ids that ranked merges make of a piece; candidates for merging wait in a heap."""
     ids = [ranks[bytes([b])] for b in piece]
     after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
     heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]

@@ -35,6 +35,17 @@ def test_long_pieces_equal_the_fold(spark):
     assert byte_bpe.long_piece_ids(b"a" * 5000, RANKS, pairs) == LIBRARY._encode_single_piece(b"a" * 5000)
 
 
+def test_a_piece_that_is_a_token_is_that_token(spark):
+    """Also where no merge leads to it, as in a table that wasn't trained."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257, b"xyz": 258, b"yz": 259, "éé".encode(): 260}
+    library = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    assert byte_bpe.unreached(ranks, byte_bpe.pair_ranks(ranks)) == {"abcd": 257, "éé": 260} and not byte_bpe.unreached(RANKS, byte_bpe.pair_ranks(RANKS))
+    words = ["abcd", "abcde", "xyz", "éé", "ééé", "ab", "a"]
+    df = spark.createDataFrame([(w,) for w in words], "piece string")
+    got = {r[0]: r[1] for r in df.select("piece", byte_bpe.piece_ids(F.col("piece"), ranks)).collect()}
+    assert got == {w: library.encode_ordinary(w) for w in words}
+
+
 def test_table_holds_every_pair():
     pairs = {(a, b): a * b % 1000 for a in range(40) for b in range(40)}
     table = byte_bpe.cuckoo_table(pairs)
