@@ -39,7 +39,7 @@ def op4_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learn=~held_out("__id"))
     return quality.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -109,7 +109,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+#: Windows are compared by their MD5; s to g join the places of repeated windows to runs, gaps are what stays between these.
+_OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS MATERIALIZED (
+  SELECT r, p, md5(b[p:p + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d WHERE octet_length(b) >= 200)
+), hit AS (
+  SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), s AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hit
+), g AS (
+  SELECT r, min(p) AS a, max(p) + 199 AS z FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS n FROM s) GROUP BY r, n
+), gaps AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM g
+  UNION ALL SELECT d.r, coalesce(max(z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN g ON g.r = d.r GROUP BY d.r
+), kept AS (
+  SELECT gaps.r, coalesce(string_agg(hex(b[gaps.a:gaps.z]), '' ORDER BY gaps.a) FILTER (WHERE gaps.z >= gaps.a), '') AS k FROM gaps JOIN d ON d.r = gaps.r GROUP BY gaps.r
+), n AS (
+  SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM g GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_va_file_top_k": _OP1_SQL,
     "op9_warc_capture_index": _OP9_SQL,
+    "op10_suffix_merge_dedup": _OP10_SQL,
 }
