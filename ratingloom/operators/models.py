@@ -18,6 +18,12 @@ from .least_squares import least_squares
 from .prep import genre_counts, item_stats, kcore
 
 NEUTRAL = 3
+#: Factors of so many users or items are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST = 200_000
+
+
+def _sent(factors: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(factors) if n <= BROADCAST else factors
 
 
 def _listed(rows: DataFrame, section: str, name: str, value: str, order: tuple[Column, ...], limit: int | None = None) -> DataFrame:
@@ -52,12 +58,27 @@ def genre_profile(ratings: DataFrame, genres: DataFrame) -> DataFrame:
     return liked.groupBy("user_id", "genre").agg((F.sum("offset") / F.first("n")).alias("score"))
 
 
+def _table(rows: DataFrame, key: str, name: str, value: Column, out: str) -> DataFrame:
+    """(key, out): what one user or item has, as a map from names to values."""
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(name), value))).alias(out))
+
+
+def _met(own: str, table: str) -> Column:
+    """The sum of the products of values whose names an item's map and a user's map share; 0 where nothing meets."""
+    entries = F.map_entries(own)
+    return F.coalesce(F.aggregate(entries, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(table, x["key"]) * x["value"], F.lit(0.0))), F.lit(0.0))
+
+
 def profile_dots(pairs: DataFrame, tags: DataFrame, genres: DataFrame, of_tags: DataFrame, of_genres: DataFrame) -> DataFrame:
-    """pairs with tag_dot and genre_dot: how far the user's profiles and the item's tags and genres go together; 0 where nothing meets."""
-    keys = pairs.select("user_id", "item_id").distinct()
-    by_tag = keys.join(tags.select("item_id", "tag", "weight"), "item_id").join(of_tags, ["user_id", "tag"]).groupBy("user_id", "item_id").agg(F.sum(F.col("score") * F.col("weight")).alias("tag_dot"))
-    by_genre = keys.join(genres, "item_id").join(of_genres, ["user_id", "genre"]).groupBy("user_id", "item_id").agg(F.sum("score").alias("genre_dot"))
-    return pairs.join(by_tag, ["user_id", "item_id"], "left").join(by_genre, ["user_id", "item_id"], "left").fillna(0.0, ["tag_dot", "genre_dot"])
+    """pairs with tag_dot and genre_dot: how far the user's profiles and the item's tags and genres go together; 0 where nothing meets.
+
+    An item's tags and genres, and then a user's profiles, come to a pair as maps, each joined by one key; no
+    row is made for a pair's tag. What a map holds is bounded by the vocabulary.
+    """
+    items = _table(tags, "item_id", "tag", F.col("weight"), "__it").join(_table(genres, "item_id", "genre", F.lit(1.0), "__ig"), "item_id", "full")
+    users = _table(of_tags, "user_id", "tag", F.col("score"), "__ut").join(_table(of_genres, "user_id", "genre", F.col("score"), "__ug"), "user_id", "full")
+    both = pairs.join(items, "item_id", "left").join(users, "user_id", "left")
+    return both.select(*pairs.columns, _met("__it", "__ut").alias("tag_dot"), _met("__ig", "__ug").alias("genre_dot"))
 
 
 @dataclasses.dataclass
@@ -136,14 +157,13 @@ class TagLS:
     @staticmethod
     def _rows(pairs: DataFrame, profile: DataFrame, tags: DataFrame, genres: DataFrame) -> DataFrame:
         """pairs (with user_id and item_id) with x: the item's values in the user's slots, then 1 for the bias."""
-        values = genres.select("item_id", F.lit("genre").alias("kind"), F.col("genre").alias("name"), F.lit(1.0).alias("value")).unionByName(
-            tags.select("item_id", F.lit("tag").alias("kind"), F.col("tag").alias("name"), (F.col("weight") / F.col("n")).alias("value"))
-        )
-        keys = pairs.select("user_id", "item_id").distinct()
-        met = keys.join(values, "item_id").join(profile, ["user_id", "kind", "name"]).groupBy("user_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
-        slots = F.transform(F.sequence(F.lit(0), F.lit(TagLS.WIDTH - 2)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        blank = F.array_repeat(F.lit(0.0), TagLS.WIDTH - 1)
-        return pairs.join(met, ["user_id", "item_id"], "left").withColumn("x", F.concat(F.when(F.col("m").isNull(), blank).otherwise(slots), F.array(F.lit(1.0)))).drop("m")
+        named = lambda kind, name: F.concat(F.lit(kind + ":"), F.col(name))
+        values = genres.select("item_id", named("genre", "genre").alias("name"), F.lit(1.0).alias("value")).unionByName(tags.select("item_id", named("tag", "tag").alias("name"), (F.col("weight") / F.col("n")).alias("value")))
+        of_items = values.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__values"))
+        slots = profile.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.concat_ws(":", "kind", "name").alias("name")))).alias("__slots"))
+        value = lambda i: F.coalesce(F.try_element_at("__values", F.try_element_at("__slots", i)), F.lit(0.0))
+        x = F.concat(F.transform(F.sequence(F.lit(0), F.lit(TagLS.WIDTH - 2)), value), F.array(F.lit(1.0)))
+        return pairs.join(of_items, "item_id", "left").join(slots, "user_id", "left").withColumn("x", x).select(*pairs.columns, "x")
 
     @classmethod
     def fit(cls, ratings: DataFrame, tags: DataFrame, genres: DataFrame, centers: DataFrame | None = None, less: int = 0) -> TagLS:
@@ -186,14 +206,15 @@ class ALS:
         # The first factors are drawn by hash, so that they don't depend on the partitions.
         draw = lambda i: F.pmod(F.xxhash64("item_id", F.lit(seed), F.lit(i)), F.lit(2_000_001)) / 1_000_000.0 - 1.0
         items = saved(rows.select("item_id").distinct().select("item_id", F.array(*(draw(i) for i in range(k))).alias("v")))
-        users, sse, n = None, None, 0
+        users, sse, n, n_items = None, None, 0, items.count()
         for n in range(1, max_rounds + 1):
-            by_user = rows.join(items, "item_id").select("user_id", F.concat("v", F.array(F.lit(1.0))).alias("x"), "y")
+            by_user = rows.join(_sent(items, n_items), "item_id").select("user_id", F.concat("v", F.array(F.lit(1.0))).alias("x"), "y")
             users = saved(least_squares(by_user, "user_id", k + 1).select("user_id", F.col("coef").alias("u")))
-            known = rows.join(users, "user_id")
+            known = rows.join(_sent(users, users.count()), "user_id")
             by_item = known.select("item_id", F.slice("u", 1, k).alias("x"), (F.col("y") - F.get("u", F.lit(k))).alias("y"))
             solved = saved(least_squares(by_item, "item_id", k).select("item_id", F.col("coef").alias("v"), "sse"))
-            items, now = solved.select("item_id", "v"), solved.agg(F.sum("sse")).first()[0] or 0.0
+            n_items, now = solved.agg(F.count("*"), F.coalesce(F.sum("sse"), F.lit(0.0))).first()
+            items = solved.select("item_id", "v")
             if n >= min_rounds and (sse is None or now > (1 - gain) * sse):
                 sse = now
                 break

@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,8 +30,10 @@ def build_session(master: str | None = None, app: str = "ratingloom", **conf: ob
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut, on the storage that spark.checkpoint.dir names; a temporary folder only where it is unset."""
+    """df computed once, its lineage cut, on the storage that spark.checkpoint.dir names; a temporary folder where it is unset and the master is local, elsewhere that is an error."""
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ratingloom-"))
     return df.checkpoint()

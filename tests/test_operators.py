@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import numeric
 from ratingloom.operators import agreement, linalg, models, prep, serving, similar
+from ratingloom.operators import least_squares as least_squares_module
 from ratingloom.operators.least_squares import least_squares
 from ratingloom.sources import readers
 
@@ -77,6 +78,38 @@ def test_least_squares_equals_numpy(spark):
     assert not want
 
 
+def test_least_squares_of_odd_designs(spark):
+    """A key with most of the rows, columns of very different size, collinear and empty columns: as numpy has it."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for key, n in ((1, 30_000), (2, 40), (3, 40), (4, 12), (5, 3)):
+        x = rng.normal(size=(n, 6))
+        x[:, 1] *= 1e-7 if key < 3 else 1e-4
+        x[:, 5] = 0
+        if key == 3:  # collinear columns besides
+            x[:, 2] = 2 * x[:, 0]
+        if key == 4:
+            x[:, 1] = x[:, 3] * (rng.random() + 0.5)
+        y = x @ rng.normal(size=6) + rng.normal(size=n)
+        rows += [(key, r.tolist(), float(v)) for r, v in zip(x, y)]
+        want[key] = (np.linalg.lstsq(x, y, rcond=None)[0], n, x, y)
+    got = least_squares(spark.createDataFrame(rows, "k long, x array<double>, y double").repartition(3), "k", 6).collect()
+    assert len(got) == 5
+    for r in got:
+        coef, n, x, y = want[r["k"]]
+        assert r["n"] == n
+        if r["k"] != 5:  # fewer rows than columns and very different sizes: only the fit is told apart
+            assert np.allclose(r["coef"], coef, rtol=1e-4, atol=1e-6), r["k"]
+        assert np.isclose(((y - x @ np.array(r["coef"])) ** 2).sum(), ((y - x @ coef) ** 2).sum(), rtol=1e-6, atol=1e-6)
+        assert np.isclose(r["sse"], ((y - x @ coef) ** 2).sum(), rtol=1e-6, atol=1e-6)
+
+
+def test_sums_are_sent_only_in_place_of_more_numbers():
+    upper = np.triu_indices(4)
+    keys, values = least_squares_module._sent(np.array([5, 1, 5, 5, 2, 5]), np.arange(24.0).reshape(6, 4), upper)
+    assert keys.tolist() == [1, 2, 5] and [len(v) for v in values] == [4, 4, 11] and values[-1][-1] == 4
+
+
 def test_als_recovers_what_made_the_ratings(spark):
     rng = np.random.default_rng(0)
     users, items = rng.uniform(-2, 2, (40, 3)), rng.uniform(-2, 2, (45, 3))
