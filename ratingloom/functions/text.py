@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import porter
 
@@ -48,27 +48,35 @@ def mapped(word: Column) -> Column:
     return F.coalesce(F.try_element_at(table, bare), bare)
 
 
-@F.pandas_udf(StringType())
-def stemmed(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else porter.stem(w))
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed(words: pd.Series) -> pd.Series:
+    """The stems of each array's words; a word is stemmed once for each batch."""
+    known: dict[str, str] = {}
+
+    def of(word: str) -> str:
+        if word not in known:
+            known[word] = porter.stem(word)
+        return known[word]
+
+    return words.map(lambda w: None if w is None else [of(x) for x in w])
+
+
+def terms(text: Column, stem: bool = True) -> Column:
+    """The terms of a text, in order: an array, empty for null, empty and stop-word texts."""
+    raw = F.filter(F.transform(words(text), F.lower), lambda w: ~is_stop(w))
+    cleaned = F.transform(raw, lambda w: mapped(stripped(w)))
+    both = F.zip_with(raw, stemmed(cleaned) if stem else cleaned, lambda r, t: F.struct(r.alias("r"), t.alias("t")))
+    kept = F.filter(both, lambda x: (F.length(x["t"]) > 0) & ~((F.length(x["t"]) < F.length(x["r"])) & is_stop(x["t"])))
+    return F.transform(kept, lambda x: x["t"])
 
 
 def term_lists(titles: DataFrame, stem: bool = True, id_col: str = "item_id", text_col: str = "title") -> DataFrame:
-    """(item_id, tokens array<string>): the terms of each title, in order.
+    """(item_id, tokens array<string>): the terms of each title, in order; nothing is shuffled.
 
-    Stems are found once for each distinct word and joined back. Null and empty titles, and those of stop
-    words only, have no row. A title's terms come together by an aggregate: titles are short.
+    One row for each row of titles, also where rows share an id; null and empty titles, and those of stop
+    words only, have none.
     """
-    each = titles.select(F.col(id_col).alias("item_id"), F.posexplode(F.transform(words(F.col(text_col)), F.lower)).alias("at", "raw")).where(~is_stop(F.col("raw")))
-    each = each.withColumn("word", mapped(stripped(F.col("raw"))))
-    if stem:
-        known = each.select("word").distinct().withColumn("token", stemmed("word"))
-        each = each.join(known, "word")
-    else:
-        each = each.withColumn("token", F.col("word"))
-    kept = each.where((F.length("token") > 0) & ~((F.length("token") < F.length("raw")) & is_stop(F.col("token"))))
-    listed = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-    return listed.select("item_id", F.transform("t", lambda t: t["token"]).alias("tokens"))
+    return titles.select(F.col(id_col).alias("item_id"), terms(F.col(text_col), stem).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def tokens(lists: DataFrame) -> DataFrame:

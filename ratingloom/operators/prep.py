@@ -33,9 +33,17 @@ def genre_counts(item_genres: DataFrame) -> DataFrame:
 
 
 def numbered(values: DataFrame, column: str, first_seen: str) -> DataFrame:
-    """(column, id): values numbered from 0 in the order in which they were first seen, ties by value. For dictionaries: one task numbers the distinct values."""
-    first = values.groupBy(column).agg(F.min(first_seen).alias("__at"))
-    return first.select(column, (F.row_number().over(Window.orderBy("__at", column)) - 1).alias("id"))
+    """(column, id): values numbered from 0 in the order in which they were first seen, ties by value.
+
+    The distinct values are dealt by range and counted by partition; a partition's numbers follow those of
+    the partitions before it.
+    """
+    first = values.groupBy(column).agg(F.min(first_seen).alias("__at")).repartitionByRange(F.col("__at").asc_nulls_first(), F.col(column).asc_nulls_first()).sortWithinPartitions("__at", column)
+    # the lower 33 bits of this id number the rows of a partition
+    placed = saved(first.select(column, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__k")))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
+    return placed.join(F.broadcast(before), "__part").select(column, (F.col("__before") + F.col("__k")).cast("int").alias("id"))
 
 
 def tag_uses(tags: DataFrame, min_count: int = 6) -> DataFrame:
@@ -92,8 +100,20 @@ def varied_users(ratings: DataFrame) -> DataFrame:
 
 
 def rating_levels(ratings: DataFrame) -> DataFrame:
-    """(user_id, rating, items): the items of each of a user's ratings; sorted by rating they are the user's levels."""
-    return ratings.groupBy("user_id", "rating").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    """(user_id, item_id, rating, level): each rating with its place among the user's different ratings, 1 for the best.
+
+    A user's levels are few and come from an aggregate, so no user's ratings are gathered.
+    """
+    levels = ratings.where("rating is not null").groupBy("user_id", "rating").agg(F.count("*").alias("__n"))
+    places = levels.select("user_id", "rating", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("rating"))).alias("level"))
+    return ratings.join(places, ["user_id", "rating"]).select("user_id", "item_id", "rating", "level")
+
+
+def item_ratings(ratings: DataFrame, shares: int = 1) -> DataFrame:
+    """(item_id, share, ratings map<user_id, rating>): each item's ratings by user, a hot item's in as many maps as ``shares`` says; of several ratings by a user the largest counts."""
+    one = ratings.where("user_id is not null").groupBy("item_id", "user_id").agg(F.max("rating").alias("rating"))
+    share = F.pmod(F.xxhash64("user_id"), F.lit(shares)).cast("int").alias("share")
+    return one.groupBy("item_id", share).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("user_id", "rating")))).alias("ratings"))
 
 
 def mismatches(items: DataFrame, expected: DataFrame) -> DataFrame:
@@ -102,14 +122,14 @@ def mismatches(items: DataFrame, expected: DataFrame) -> DataFrame:
     return named.where(~F.col("title").eqNullSafe(F.col("expected"))).select("item_id", "title", "expected")
 
 
-def kcore(train: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
+def kcore(train: DataFrame, k: int) -> DataFrame:
     """The largest part of train in which each user has k + 1 ratings and each item k, at least.
 
     Each round drops users, then items, by counts that are aggregated before they are shuffled, and is
     kept on shared storage; the rounds end when nothing is dropped.
     """
     now, n = train, None
-    for _ in range(max_rounds):
+    while True:
         users = degrees(now, "user_id").where(F.col("n") >= k + 1).select("user_id")
         fewer = now.join(users, "user_id", "left_semi")
         items = degrees(fewer, "item_id").where(F.col("n") >= k).select("item_id")
@@ -117,4 +137,3 @@ def kcore(train: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
         before, n = n, now.count()
         if n == before:
             return now
-    raise RuntimeError(f"the core still shrinks after {max_rounds} rounds")

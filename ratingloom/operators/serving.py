@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .models import ALS, TagCount, TagLS
@@ -57,6 +59,47 @@ def rated(ratings: DataFrame, titles: DataFrame, user_id: int) -> DataFrame:
     return own.select("item_id", "title", "rating").orderBy(F.desc("rating"), "title", "item_id")
 
 
+def rated_by_all(ratings: DataFrame, titles: DataFrame) -> DataFrame:
+    """(user_id, rank, item_id, title, rating): rated() for every user, with the place as rank."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("rating"), "title", "item_id")
+    named = ratings.join(titles.select("item_id", "title"), "item_id", "left")
+    return named.select("user_id", F.row_number().over(order).alias("rank"), "item_id", "title", "rating")
+
+
+def rate(live: DataFrame, user_id: int, item_id: int, rating: float | None, at: datetime.datetime) -> DataFrame:
+    """live_ratings() after one more request: a rating put in place of an older one, or taken back with None."""
+    rest = live.where(~(F.col("user_id").eqNullSafe(F.lit(user_id)) & F.col("item_id").eqNullSafe(F.lit(item_id))))
+    if rating is None:
+        return rest
+    return rest.unionByName(live.sparkSession.createDataFrame([(user_id, item_id, float(rating), at)], live.schema))
+
+
+@dataclasses.dataclass
+class Recommendations:
+    """Kept recommendations: a table (user_id, algorithm, computed, item_id, rank, score) at a path, partitioned by user and algorithm.
+
+    A request gets every ROTATIONS-th of them, each time the next ones; they are computed anew where the
+    user's ratings have changed since, or at the same time.
+    """
+
+    path: str
+    compute: Callable[[int, str], DataFrame]
+    turns: dict[tuple[int, str], int] = dataclasses.field(default_factory=dict)
+
+    def get(self, spark: SparkSession, user_id: int, algorithm: str, changed: datetime.datetime | None, now: datetime.datetime) -> DataFrame:
+        """(item_id, rank, score) of this turn. ``changed`` is when the user's ratings last changed, None if never."""
+        own = f"{self.path}/user_id={user_id}/algorithm={algorithm}"
+        kept = spark._jvm.org.apache.hadoop.fs.Path(own, "_SUCCESS")
+        there = kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept)
+        computed = spark.read.parquet(own).agg(F.max("computed")).first()[0] if there else None
+        if computed is None or (changed is not None and computed <= changed):
+            self.compute(user_id, algorithm).select("item_id", "rank", "score").withColumn("computed", F.lit(now)).write.mode("overwrite").parquet(own)
+            self.turns[user_id, algorithm] = 0
+        turn = self.turns.get((user_id, algorithm), 0)
+        self.turns[user_id, algorithm] = (turn + 1) % ROTATIONS
+        return rotation(spark.read.parquet(own), turn).select("item_id", "rank", "score")
+
+
 @dataclasses.dataclass
 class Engine:
     """The tables that requests are answered from."""

@@ -46,26 +46,36 @@ def ranked(pairs: DataFrame, top: int = 20, pool: int = 20) -> DataFrame:
     return best.select("item_id", "rank", "similar_id", "score", "n_common")
 
 
-def tune(ratings: DataFrame, item_genres: DataFrame, id1: int, id2: int, top_n: int, expected: float = 2.0, threshold: float = 0.3) -> tuple[int, float]:
+def matches(ratings: DataFrame, item_genres: DataFrame, item_id: int, min_common: int = 3) -> DataFrame:
+    """co_rated's pairs of one item: its ratings meet only those of its own raters."""
+    own = ratings.where(F.col("item_id") == item_id).select("user_id", F.col("rating").alias("ra"))
+    sets = item_genres.groupBy("item_id").agg(F.sort_array(F.collect_set("genre")).alias("g"))
+    mine = sets.where(F.col("item_id") == item_id).select(F.col("g").alias("mine"))
+    others = ratings.where(F.col("item_id") != item_id).join(own, "user_id").groupBy("item_id")
+    sums = others.agg(F.count("*").alias("n_common"), F.sum(F.col("ra") * F.col("rating")).alias("ab"), F.sum(F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("rating") * F.col("rating")).alias("bb"))
+    near = sums.where(F.col("n_common") >= min_common).join(sets, "item_id").join(F.broadcast(mine), genre_overlap(F.col("g"), F.col("mine")))
+    return near.select(F.lit(item_id).cast("bigint").alias("a"), F.col("item_id").alias("b"), "n_common", cosine(F.col("ab"), F.col("aa"), F.col("bb")).alias("cos"))
+
+
+def tune(ratings: DataFrame, item_genres: DataFrame, id1: int, id2: int, top_n: int, expected: int = 20, threshold: float = 0.3) -> tuple[int, float]:
     """(point, limit): a boost that brings id2 among the top_n of id1, with their number of common raters as point.
 
-    The limit is raised by what the best of the others is ahead, up to ``expected``. Only the pairs of
-    id1 take part; the driver gets one row of them in each round.
+    The limit begins at 0 and is raised by what the best match is ahead, and 0.01, until id2 is in or the
+    limit is 2. ``expected`` is the usual number of matches asked for; twice as many are ranked, from the
+    20 times as many with most common raters. The driver gets these in each round.
     """
-    raters = ratings.where(F.col("item_id") == id1).select("user_id")
-    own = co_rated(ratings.join(raters, "user_id", "left_semi"), 3, item_genres).where((F.col("a") == id1) | (F.col("b") == id1)).persist()
+    own = matches(ratings, item_genres, id1).persist()
     try:
-        both = own.where((F.col("a") == id2) | (F.col("b") == id2)).first()
+        both = own.where(F.col("b") == id2).first()
         if both is None:
             raise ValueError(f"{id1} and {id2} have fewer than 3 raters or too few genres in common")
-        point, limit = both["n_common"], 0.05
-        while limit < expected:
-            place = ranked(own.withColumn("score", common_boost(F.col("cos"), F.col("n_common"), point, limit)).where(F.col("score") > threshold), top_n).where(F.col("item_id") == id1)
-            if place.where(F.col("similar_id") == id2).count():
+        point, limit = both["n_common"], 0.0
+        while limit < 2:
+            scored = own.withColumn("score", common_boost(F.col("cos"), F.col("n_common"), point, limit)).where(F.col("score") > threshold)
+            best = ranked(scored, 2 * expected).where(F.col("item_id") == id1).orderBy("rank").collect()
+            if not best or any(r["similar_id"] == id2 for r in best[:top_n]):
                 break
-            best = place.agg(F.max("score")).first()[0]
-            boosted = both["cos"] * (1 + limit)
-            limit = limit * (best / boosted if best else 1.0) + 0.01
+            limit = limit * best[0]["score"] / (both["cos"] * (1 + limit)) + 0.01
         return point, limit
     finally:
         own.unpersist()

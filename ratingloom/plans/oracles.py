@@ -48,7 +48,7 @@ _CTE = {
         LEFT JOIN (SELECT user_id, item_id, sum(score) AS d FROM ratings JOIN item_genres USING (item_id) JOIN of_genres USING (user_id, genre) GROUP BY user_id, item_id) g USING (user_id, item_id)""",
     "counted": """SELECT user_id, 'genre' AS kind, genre AS name, count(*) AS n FROM ratings JOIN item_genres USING (item_id) GROUP BY user_id, genre
         UNION ALL SELECT user_id, 'tag', tag, count(*) FROM ratings JOIN item_tags USING (item_id) GROUP BY user_id, tag""",
-    "titles": "SELECT doc_id AS item_id, string_split(text, chr(10))[1] AS title FROM documents",
+    "titles": "SELECT doc_id AS item_id, text AS title FROM documents",
     "rating_events": """SELECT event_id, ts AS event_time, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
         CASE WHEN event_type <> 'error' THEN CAST(event_id % 5 + 1 AS DOUBLE) END AS rating FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""",
     "live": """SELECT user_id, item_id, rating, event_time FROM (
@@ -132,7 +132,31 @@ def _kcore(k: int, rounds: int = 8) -> str:
     return base + ",\n" + ",\n".join(steps) + f"\nSELECT user_id, item_id, rating FROM c{rounds}"
 
 
-_BEST = "SELECT item_id, title, rating FROM (SELECT r.*, p_name AS title FROM ratings r LEFT JOIN part ON p_partkey = item_id)"
+def _core_items(k: int) -> str:
+    """The items of a core, each with its number of ratings there and a gradient of 0."""
+    return f"SELECT {k} AS k, item_id, count(*) AS n, 0.0::DOUBLE AS gradient FROM ({_kcore(k)}) GROUP BY item_id"
+
+
+_SEARCHED = """SELECT item_id, round(sum(times * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / n), 6) AS score
+        FROM (SELECT DISTINCT term, kind, item_id FROM all_terms) JOIN term_n USING (term, kind)
+        JOIN (VALUES ('inghe', 'token', 2), ('onth', 'token', 1), ('inghe onth', 'bigram', 1), ('onth inghe', 'bigram', 1)) q(term, kind, times) USING (term, kind)
+        GROUP BY item_id ORDER BY sum(times * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / n) DESC, item_id DESC LIMIT 100"""
+_LOG = "SELECT user_id, item_id, rating, event_time FROM rating_events WHERE rating IS NOT NULL"
+#: The rounds of tuning: t has the limit of each, the scores of the first item's 40 best matches decide on the next.
+_TUNED = """, best AS (SELECT item_id AS id1, similar_id AS id2 FROM top_similar WHERE rank = 2 ORDER BY n_common DESC, item_id LIMIT 1),
+own AS (SELECT CASE WHEN a = id1 THEN b ELSE a END AS id, id1, id2, n_common, cos FROM matched, best WHERE a = id1 OR b = id1),
+target AS (SELECT id1, id2, n_common AS point, cos FROM own WHERE id = id2),
+t AS (
+    SELECT 0 AS round, CAST(0.0 AS DOUBLE) AS lim, false AS done
+    UNION ALL
+    SELECT round + 1, CASE WHEN bool_or(id = id2 AND place = 1) THEN any_value(lim) ELSE any_value(lim) * max(score) / (any_value(target_cos) * (1 + any_value(lim))) + 0.01::DOUBLE END, bool_or(id = id2 AND place = 1)
+    FROM (SELECT *, row_number() OVER (ORDER BY score DESC, n_common DESC, id) AS place FROM (
+        SELECT t.round, t.lim, o.id, o.id2, o.n_common, g.cos AS target_cos,
+            o.cos * (1 + least(greatest(ln(greatest(3 + coalesce((3 * exp(t.lim) - 3) * (o.n_common - 3) / nullif(g.point - 3.0::DOUBLE, 0), 0), 1e-300)) - ln(3.0::DOUBLE), 0.0), t.lim)) AS score
+        FROM t, own o, target g WHERE NOT t.done AND t.lim < 2) WHERE score > 0.3
+        QUALIFY row_number() OVER (ORDER BY n_common DESC, id) <= 800)
+    GROUP BY round)
+SELECT id1, id2, point, round(lim, 6) AS boost FROM target, (SELECT lim FROM t ORDER BY round DESC LIMIT 1)"""
 
 ORACLES = {
     "ratings_scan": _sql("SELECT * FROM ratings", "ratings"),
@@ -177,11 +201,8 @@ ORACLES = {
     "frequent_terms": _sql("SELECT term, n FROM term_n WHERE kind = 'token' ORDER BY n DESC, term DESC LIMIT 100", "term_n"),
     "nonalnum_terms": _sql("SELECT term, n FROM term_n WHERE kind = 'token' AND NOT regexp_full_match(term, '[\\p{L}\\p{N}]+')", "term_n"),
     "terms_with_suffix": _sql("SELECT term, n FROM term_n WHERE kind = 'token' AND ends_with(term, 'ing')", "term_n"),
-    "search": _sql(
-        """SELECT item_id, round(sum(times * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / n), 6) AS score
-        FROM (SELECT DISTINCT term, kind, item_id FROM all_terms) JOIN term_n USING (term, kind)
-        JOIN (VALUES ('inghe', 'token', 2), ('onth', 'token', 1), ('inghe onth', 'bigram', 1), ('onth inghe', 'bigram', 1)) q(term, kind, times) USING (term, kind)
-        GROUP BY item_id ORDER BY sum(times * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / n) DESC, item_id DESC LIMIT 100""", "term_n"),
+    "search": _sql(_SEARCHED, "term_n"),
+    "search_saved_index": _sql(_SEARCHED, "term_n"),
     "spmv": _sql("SELECT i, round(sum(m.v * (0.5::DOUBLE + x.item_id % 7)), 6) AS v FROM matrix m JOIN (SELECT DISTINCT item_id FROM ratings) x ON x.item_id = m.j GROUP BY i", "matrix"),
     "spmv_t": _sql("SELECT j AS i, round(sum(m.v * (0.5::DOUBLE + m.i % 7)), 6) AS v FROM matrix m GROUP BY j", "matrix"),
     "transpose": _sql("SELECT j AS i, i AS j, v FROM matrix", "matrix"),
@@ -190,11 +211,27 @@ ORACLES = {
     "column_counts": _sql("SELECT j, count(*) AS n FROM matrix GROUP BY j", "matrix"),
     "live_ratings": _sql("SELECT * FROM live", "live"),
     "rating_changes": _sql("SELECT user_id, max(event_time) AS changed FROM rating_events GROUP BY user_id", "rating_events"),
-    "rated_items": _sql(f"{_BEST} WHERE user_id = 1", "ratings"),
+    "rated_items": _sql(
+        """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, p_name NULLS FIRST, item_id) AS INTEGER) AS rank, item_id, p_name AS title, rating
+        FROM ratings LEFT JOIN part ON p_partkey = item_id""", "ratings"),
     "rotation": _sql("SELECT item_id, CAST(rank AS INTEGER) AS rank, similar_id FROM top_similar WHERE (rank - 1) % 4 = 1", "top_similar"),
     "rec_staleness": _sql("SELECT user_id, 'tag_ls' AS algorithm FROM rating_events GROUP BY user_id HAVING max(event_time) >= TIMESTAMP '2024-01-15'", "rating_events"),
-    "enrichment_missing": "SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT page_id FROM pages) AND p_partkey % 10 <> 3",
-    "rate_upsert": _sql(
-        """SELECT user_id, item_id, rating FROM live WHERE NOT (user_id % 2 = 0 AND (user_id, item_id) IN (SELECT (user_id, item_id) FROM ratings))
-        UNION ALL SELECT user_id, item_id, rating FROM ratings WHERE user_id % 2 = 0""", "live", "ratings"),
+    "enrichment_missing": "SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT page_id FROM pages) AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "rate_upsert": _sql("SELECT user_id, item_id, rating FROM live WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM ratings) UNION ALL SELECT user_id, item_id, rating FROM ratings", "live", "ratings"),
+    "tune_boost": _sql(_TUNED.removeprefix(", "), "top_similar").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nbest AS", ",\nbest AS", 1),
+    "rating_levels": _sql("SELECT user_id, item_id, rating, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY rating DESC) AS INTEGER) AS level FROM ratings", "ratings"),
+    "item_rating_maps": _sql("SELECT item_id, count(*) AS n, sum(rating) AS total FROM ratings GROUP BY item_id", "ratings"),
+    "rating_spread": _sql("SELECT min(rating) AS least, max(rating) AS most, round(avg(rating), 6) AS mean, count(rating) AS n FROM ratings", "ratings"),
+    "title_mismatches": "SELECT p_partkey AS item_id, p_name AS title, p_brand AS expected FROM part WHERE NOT coalesce(p_size > 25, false) AND p_name IS DISTINCT FROM p_brand",
+    "items_csv": "SELECT p_partkey AS item_id, p_name AS title, concat_ws('|', p_type, p_brand, 'size' || CAST(p_size // 10 AS VARCHAR)) AS genres FROM part",
+    "ratings_csv": _sql(f"SELECT user_id, item_id, rating FROM ({_LOG})", "rating_events"),
+    "ratings_csv_latest": _sql(f"SELECT user_id, item_id, rating FROM ({_LOG}) QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY event_time DESC, rating DESC) = 1", "rating_events"),
+    "tags_csv": _sql("SELECT user_id, item_id, tag FROM tags", "tags"),
+    "links_csv": "SELECT p_partkey AS item_id, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS imdb_id, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS tmdb_id FROM part",
+    "kept_item_medians": _sql("SELECT item_id, center, n FROM centers", "centers"),
+    "tag_ls_optimality": _sql("SELECT user_id, count(*) AS n, 0.0::DOUBLE AS gradient FROM ratings GROUP BY user_id", "ratings"),
+    "tag_count_optimality": _sql(
+        """SELECT user_id, n, 0.0::DOUBLE AS gradient, 0 AS model FROM (SELECT user_id, count(*) AS n FROM dots WHERE tag_dot > 0.1 GROUP BY user_id) WHERE n >= 3
+        UNION ALL SELECT user_id, n, 0.0::DOUBLE, 1 FROM (SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id) WHERE n >= 2""", "dots"),
+    "als_optimality": " UNION ALL ".join(_core_items(k) for k in (3, 5, 7, 9, 11)),
 }

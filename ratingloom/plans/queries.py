@@ -6,13 +6,14 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.numeric import dot as product
 from ..functions.numeric import num_factors
 from ..operators import agreement, linalg, models, prep, search, serving, similar
-from ..session import saved
+from ..session import new_folder, saved
 from ..sources import readers, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +103,77 @@ def degree_histogram(spark, sf_dir):
     return prep.histogram(user_degree(spark, sf_dir), "n", 0, 100)
 
 
+@query
+def rating_levels(spark, sf_dir):
+    return prep.rating_levels(testdata.ratings(spark, sf_dir))
+
+
+@query
+def item_rating_maps(spark, sf_dir):
+    """Size and sum of the maps of each item's ratings by user."""
+    maps = prep.item_ratings(testdata.ratings(spark, sf_dir))
+    return maps.select("item_id", F.size("ratings").cast("bigint").alias("n"), F.aggregate(F.map_values("ratings"), F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query
+def rating_spread(spark, sf_dir):
+    return rounded(agreement.spread(testdata.ratings(spark, sf_dir), "rating"), "mean")
+
+
+@query
+def title_mismatches(spark, sf_dir):
+    """Items whose name isn't the expected one: small parts are expected to be called by their brand."""
+    part = testdata.table(spark, sf_dir, "part")
+    expected = part.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_brand")).alias("title"))
+    return prep.mismatches(testdata.items(spark, sf_dir), expected)
+
+
+def _csv(rows: DataFrame) -> str:
+    """rows written as CSV files with a header, as the readers expect them."""
+    folder = new_folder(rows.sparkSession, "csv")
+    rows.write.csv(folder, header=True, escape='"')
+    return folder
+
+
+@query
+def items_csv(spark, sf_dir):
+    return readers.read_items(spark, _csv(testdata.items(spark, sf_dir)))
+
+
+def _rating_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.rating_events(spark, sf_dir).where("rating is not null").select("user_id", "item_id", "rating", F.unix_micros(F.col("event_time").cast("timestamp")).alias("ts"))
+
+
+@query
+def ratings_csv(spark, sf_dir):
+    return readers.read_ratings(spark, _csv(_rating_log(spark, sf_dir)))
+
+
+@query
+def ratings_csv_latest(spark, sf_dir):
+    return readers.read_ratings(spark, _csv(_rating_log(spark, sf_dir)), last_only=True)
+
+
+@query
+def tags_csv(spark, sf_dir):
+    events = testdata.table(spark, sf_dir, "events")
+    return readers.read_tags(spark, _csv(events.select("user_id", F.get_json_object("props", "$.k").alias("item_id"), F.upper("event_type").alias("tag"), "ts").where("item_id is not null")))
+
+
+@query
+def links_csv(spark, sf_dir):
+    part = testdata.table(spark, sf_dir, "part")
+    return readers.read_links(spark, _csv(part.select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))))
+
+
+@query
+def kept_item_medians(spark, sf_dir):
+    """A table that is computed and kept, and then found."""
+    path = new_folder(spark, "kept")
+    readers.kept(spark, path, lambda: item_medians(spark, sf_dir))
+    return readers.kept(spark, path, lambda: item_medians(spark, sf_dir).limit(0))
+
+
 @query
 def train_test_split(spark, sf_dir):
     return prep.split(testdata.ratings(spark, sf_dir))
@@ -167,14 +239,14 @@ def similar_items_cards(spark, sf_dir):
 
 @query
 def tune_boost(spark, sf_dir):
-    """The boost that brings the second best match of the most matched pair's first item to the top."""
+    """The boost that brings the second best match of the most matched pair's first item to the top, and the number of their common raters."""
     ratings, genres = testdata.ratings(spark, sf_dir), _genres(spark, sf_dir)
     best = similar.similar(ratings, genres).where("rank = 2").orderBy(F.desc("n_common"), "item_id").first()
     schema = "id1 long, id2 long, point long, boost double"
     if best is None:
         return spark.createDataFrame([], schema)
-    point, limit = similar.tune(ratings, genres, best["item_id"], best["similar_id"], 2)
-    return spark.createDataFrame([(best["item_id"], best["similar_id"], point, float(limit))], schema)
+    point, limit = similar.tune(ratings, genres, best["item_id"], best["similar_id"], 1)
+    return spark.createDataFrame([(best["item_id"], best["similar_id"], point, round(float(limit), 6))], schema)
 
 
 def _core(k: int) -> Query:
@@ -265,6 +337,50 @@ def tag_ls_params(spark, sf_dir):
     return models.TagLS.fit(testdata.ratings(spark, sf_dir), _item_tags(spark, sf_dir), _genres(spark, sf_dir)).params()
 
 
+def _largest(rows: DataFrame, key: str, width: int, left: Column) -> DataFrame:
+    """(key, n, gradient): how far residuals (``left``) are from being orthogonal to the columns of x, as a cosine to four digits: 0 for a least-squares fit."""
+    rows = rows.withColumn("__left", left)
+    sums = [F.sum(F.get("x", F.lit(i)) * F.col("__left")).alias(f"g{i}") for i in range(width)] + [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)]
+    cosines = [F.abs(F.col(f"g{i}")) / F.greatest(F.sqrt(F.col(f"s{i}")) * F.sqrt("yy"), F.lit(1e-9)) for i in range(width)]
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *sums)
+    return found.select(key, "n", F.round(F.greatest(*cosines, F.lit(0.0)), 4).alias("gradient"))
+
+
+@query
+def tag_ls_optimality(spark, sf_dir):
+    """Each user's fit is a least-squares fit: residuals are orthogonal to its columns."""
+    ratings, tags, genres = testdata.ratings(spark, sf_dir), _item_tags(spark, sf_dir), _genres(spark, sf_dir)
+    model = models.TagLS.fit(ratings, tags, genres)
+    rows = model._rows(ratings, model.profile, tags, genres).join(model.centers, "item_id").join(model.factors, "user_id").withColumn("y", F.col("rating") - F.col("center"))
+    return _largest(rows, "user_id", models.TagLS.WIDTH, F.col("y") - product("x", "coef"))
+
+
+@query
+def tag_count_optimality(spark, sf_dir):
+    """As tag_ls_optimality, for the fits with tags (model 0) and without (model 1)."""
+    ratings, tags, genres = testdata.ratings(spark, sf_dir), _item_tags(spark, sf_dir), _genres(spark, sf_dir)
+    model = models.TagCount.fit(ratings, tags, genres)
+    dots = models.profile_dots(ratings, tags, genres, model.of_tags, model.of_genres).join(model.centers, "item_id").join(model.factors, "user_id").withColumn("y", F.col("rating") - F.col("center"))
+    with_tags = dots.where("tag_dot > 0.1 and x0 is not null").withColumn("x", F.array("tag_dot", "genre_dot", F.lit(1.0)))
+    without = dots.where("x1 is not null").withColumn("x", F.array("genre_dot", F.lit(1.0)))
+    fits = [_largest(with_tags, "user_id", 3, F.col("y") - product("x", "x0")).withColumn("model", F.lit(0)), _largest(without, "user_id", 2, F.col("y") - product("x", "x1")).withColumn("model", F.lit(1))]
+    return fits[0].unionByName(fits[1])
+
+
+@query
+def als_optimality(spark, sf_dir):
+    """Of each number of factors, each item's factors are a least-squares fit to the users' ones."""
+    train = _split(spark, sf_dir)[0]
+
+    def rows(k):
+        model = models.ALS.fit(train, k)
+        used = prep.kcore(train, k).join(model.centers, "item_id").join(model.users, "user_id").join(model.items, "item_id")
+        design = used.select("item_id", "v", F.slice("u", 1, k).alias("x"), (F.col("rating") - F.col("center") - F.get("u", F.lit(k))).alias("y"))
+        return _largest(design, "item_id", k, F.col("y") - product("x", "v"))
+
+    return _by_k(rows)
+
+
 #: The numbers of factors that the reference fits.
 ALS_FACTORS = (3, 5, 7, 9, 11)
 
@@ -355,6 +471,14 @@ def _search(spark, sf_dir):
 QUERIES["search"] = _search
 
 
+@query
+def search_saved_index(spark, sf_dir):
+    """As search, over an index that was saved and loaded."""
+    path = new_folder(spark, "index")
+    _index(spark, sf_dir).save(path)
+    return rounded(search.search(search.Index.load(spark, path, stem=False), "Inghe: onth, (Inghe)"), "score")
+
+
 @query
 def search_stemmed(spark, sf_dir):
     return search.search(_index(spark, sf_dir, stem=True), "Inghe: onth, (Inghe)")
@@ -423,14 +547,13 @@ def rating_changes(spark, sf_dir):
 
 @query
 def rate_upsert(spark, sf_dir):
-    """Live ratings, with what even-numbered users rate in the other table put in their place."""
-    changes = testdata.ratings(spark, sf_dir).where("user_id % 2 = 0")
-    return readers.upsert(live_ratings(spark, sf_dir).select("user_id", "item_id", "rating"), changes, ["user_id", "item_id"])
+    """Live ratings, with the ratings of the other table put in their place."""
+    return readers.upsert(live_ratings(spark, sf_dir).select("user_id", "item_id", "rating"), testdata.ratings(spark, sf_dir), ["user_id", "item_id"])
 
 
 @query
 def rated_items(spark, sf_dir):
-    return serving.rated(testdata.ratings(spark, sf_dir), testdata.items(spark, sf_dir), 1)
+    return serving.rated_by_all(testdata.ratings(spark, sf_dir), testdata.items(spark, sf_dir))
 
 
 @query
@@ -447,8 +570,10 @@ def rec_staleness(spark, sf_dir):
 
 @query
 def enrichment_missing(spark, sf_dir):
+    """Items without a card; those without a rating are known to have none."""
     wanted = testdata.items(spark, sf_dir).select("item_id")
-    return readers.missing(wanted, testdata.cards(spark, sf_dir), wanted.where("item_id % 10 = 3"))
+    unrated = wanted.join(testdata.ratings(spark, sf_dir).select("item_id"), "item_id", "left_anti")
+    return readers.missing(wanted, testdata.cards(spark, sf_dir), unrated)
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> serving.Engine:
@@ -463,7 +588,10 @@ def _recommend(algorithm: str) -> Query:
         if algorithm.startswith("als"):
             k = int(algorithm[3:])
             engine.als[k] = models.ALS.fit(engine.ratings, k)
-        return engine.recommend(1, algorithm)[0]
+        try:
+            return engine.recommend(1, algorithm)[0]
+        except ValueError:  # a user with too few ratings gets nothing
+            return spark.createDataFrame([], "item_id long, rank int, score double")
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +30,24 @@ def build_session(master: str | None = None, app: str = "ratingloom", **conf: ob
     return builder.getOrCreate()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut, on the storage that spark.checkpoint.dir names; a temporary folder where it is unset and the master is local, elsewhere that is an error."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one is set where it is unset and the master is local, elsewhere that is an error."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ratingloom-"))
+        where = "file://" + tempfile.mkdtemp(prefix="ratingloom-")
+        context.setCheckpointDir(where)
+    return where
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The URI of a folder on shared storage that no other call uses."""
+    return f"{_shared(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut, on shared storage."""
+    _shared(df.sparkSession)
     return df.checkpoint()

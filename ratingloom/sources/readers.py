@@ -20,9 +20,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, "item_id long, title string, genres string")
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, item_id, rating); columns after the third are not read."""
-    return _csv(spark, path, "user_id long, item_id long, rating double, ts string", "PERMISSIVE").select("user_id", "item_id", "rating")
+def read_ratings(spark: SparkSession, path: str, last_only: bool = False) -> DataFrame:
+    """(user_id, item_id, rating); columns after the fourth are not read.
+
+    With last_only, of a user's ratings of an item the last one counts: that of the largest time in the fourth
+    column, and of equal times the largest rating; ratings without a time come before those with one.
+    """
+    rows = _csv(spark, path, "user_id long, item_id long, rating double, ts long", "PERMISSIVE")
+    return latest(rows, "ts") if last_only else rows.select("user_id", "item_id", "rating")
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +42,8 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest(ratings: DataFrame, order: str) -> DataFrame:
-    """One rating for each (user_id, item_id): that of the largest ``order``; an aggregate, so hot users don't gather."""
-    return ratings.groupBy("user_id", "item_id").agg(F.max_by("rating", order).alias("rating"))
+    """One rating for each (user_id, item_id): that of the largest ``order``, ties to the larger rating, nulls last; an aggregate, so hot users don't gather."""
+    return ratings.groupBy("user_id", "item_id").agg(F.max(F.struct(F.col(order), F.col("rating"))).alias("__last")).select("user_id", "item_id", F.col("__last.rating").alias("rating"))
 
 
 def synthetic_ratings(spark: SparkSession, users: int, items: int, k: int = 3, noise: float = 0.1, low: float = -2.0, high: float = 2.0, seed: int = 42) -> DataFrame:

@@ -29,8 +29,8 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, title): the first line of each document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("title"))
+    """(item_id, title): the whole text of each document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"))
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:

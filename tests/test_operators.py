@@ -180,13 +180,14 @@ def test_recommend_checks_its_requests(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "items.csv").write_text('id,title,genres\n1,"Odd, ""quoted"" one (1990)",Drama|Comedy\n2,Plain,(no genres listed)\n', encoding="utf-8")
-    (tmp_path / "ratings.csv").write_text("u,i,r,t\n1,2,3.5,99\n1,2,4.0,100\n")
+    (tmp_path / "ratings.csv").write_text("u,i,r,t\n1,2,4.5,99\n1,2,4.0,100\n1,2,3.0,100\n1,3,2.0,\n1,2,5.0,\n")
     (tmp_path / "tags.csv").write_text("u,i,tag,t\n1,2,Sad Film,9\n")
     (tmp_path / "links.csv").write_text("i,imdb,tmdb\n1,0114709,862\n2,,\n")
     items = readers.read_items(spark, str(tmp_path / "items.csv"))
     assert items.where("item_id = 1").first()["title"] == 'Odd, "quoted" one (1990)'
     assert sorted(tuple(r) for r in readers.item_genres(items).collect()) == [(1, "comedy"), (1, "drama")]
-    assert readers.read_ratings(spark, str(tmp_path / "ratings.csv")).count() == 2
+    assert readers.read_ratings(spark, str(tmp_path / "ratings.csv")).count() == 5
+    assert sorted(tuple(r) for r in readers.read_ratings(spark, str(tmp_path / "ratings.csv"), last_only=True).collect()) == [(1, 2, 4.0), (1, 3, 2.0)]
     assert readers.read_tags(spark, str(tmp_path / "tags.csv")).first()["tag"] == "sad film"
     assert [tuple(r) for r in readers.read_links(spark, str(tmp_path / "links.csv")).orderBy("item_id").collect()] == [(1, "0114709", "862"), (2, None, None)]
 
@@ -206,14 +207,46 @@ def test_kept_tables_are_computed_once(spark, tmp_path):
 def test_numbers_follow_first_appearance(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "tag string, at long")
     assert {r["tag"]: r["id"] for r in prep.numbered(df, "tag", "at").collect()} == {"b": 0, "a": 1}
+    many = spark.range(5000).selectExpr("id % 1000 AS v", "id % 7 AS at").repartition(6)
+    order = sorted(range(1000), key=lambda v: (min((v + 1000 * k) % 7 for k in range(5)), v))
+    assert {r["v"]: r["id"] for r in prep.numbered(many, "v", "at").collect()} == {v: i for i, v in enumerate(order)}
+    assert prep.numbered(many.limit(0), "v", "at").count() == 0
+
+
+@pytest.mark.parametrize(("seed", "id2", "top_n"), [(2, 3, 1), (2, 5, 2), (3, 1, 1), (4, 4, 5)])
+def test_tune_equals_brute_force(spark, seed, id2, top_n):
+    rng = np.random.default_rng(seed)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(40) for i in range(6) if rng.random() < 0.4 + 0.1 * i]
+    rating, expected = {(u, i): r for u, i, r in rows}, 2
+    pairs = {}
+    for i in range(1, 6):
+        both = [(rating[u, 0], rating[u, i]) for u in range(40) if (u, 0) in rating and (u, i) in rating]
+        a, b = np.array(both).T
+        pairs[i] = (len(both), a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    point, limit = pairs[id2][0], 0.0
+    boosted = lambda i: pairs[i][1] * (1 + min(max(math.log(3 + (3 * math.exp(limit) - 3) * (pairs[i][0] - 3) / (point - 3)) - math.log(3), 0), limit))
+    while limit < 2:
+        best = sorted((-boosted(i), -pairs[i][0], i) for i in pairs)[: 2 * expected]
+        if id2 in [i for _, _, i in best[:top_n]]:
+            break
+        limit = limit * -best[0][0] / (pairs[id2][1] * (1 + limit)) + 0.01
+    genres = spark.createDataFrame([(i, "g") for i in range(6)], "item_id long, genre string")
+    found = similar.tune(spark.createDataFrame(rows, RATINGS), genres, 0, id2, top_n, expected)
+    assert found[0] == point and found[1] == pytest.approx(limit, abs=1e-9)
+    with pytest.raises(ValueError):
+        similar.tune(spark.createDataFrame(rows, RATINGS), genres, 0, 77, 1)
 
 
-def test_tune_brings_the_second_to_the_top(spark):
-    rng = np.random.default_rng(2)
-    rows = [(u, i, float(rng.integers(1, 6))) for u in range(40) for i in range(6) if rng.random() < 0.8]
-    genres = spark.createDataFrame([(i, "g") for i in range(6)], "item_id long, genre string")
-    point, limit = similar.tune(spark.createDataFrame(rows, RATINGS), genres, 0, 3, 5)
-    assert point >= 3 and 0 < limit < 2.5 and not math.isnan(limit)
+def test_rank_agreement_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, i, float(rng.integers(1, 11)) / 2, None if rng.random() < 0.1 else float(rng.integers(0, 8))) for u in range(12) for i in range(rng.integers(0, 60))]
+    want = {}
+    for u, _, ra, pa in rows:
+        for v, _, rb, pb in rows:
+            if u == v and pa is not None and pb is not None and ra > rb:
+                want.setdefault(u, []).append(pa > pb)
+    got = agreement.rank_agreement(spark.createDataFrame(rows, "user_id long, item_id long, rating double, prediction double")).collect()
+    assert {r["user_id"]: (r["pairs"], round(r["agreement"], 9)) for r in got} == {u: (len(v), round(sum(v) / len(v), 9)) for u, v in want.items()}
 
 
 def test_research_variants(spark):
@@ -232,7 +265,9 @@ def test_research_variants(spark):
 
 def test_levels_and_mismatches(spark):
     ratings = spark.createDataFrame([(1, 1, 4.0), (1, 2, 4.0), (1, 3, 2.0)], RATINGS)
-    assert [(r["rating"], r["items"]) for r in prep.rating_levels(ratings).orderBy(F.desc("rating")).collect()] == [(4.0, [1, 2]), (2.0, [3])]
+    assert sorted((r["item_id"], r["rating"], r["level"]) for r in prep.rating_levels(ratings).collect()) == [(1, 4.0, 1), (2, 4.0, 1), (3, 2.0, 2)]
+    assert {r["item_id"]: r["ratings"] for r in prep.item_ratings(ratings.where("item_id < 3")).collect()} == {1: {1: 4.0}, 2: {1: 4.0}}
+    assert tuple(agreement.spread(ratings, "rating").first()) == (2.0, 4.0, 10 / 3, 3)
     titles = spark.createDataFrame([(1, "A"), (2, "B")], "item_id long, title string")
     expected = spark.createDataFrame([(1, "A"), (2, "X"), (3, "C")], "item_id long, title string")
     assert sorted(r["item_id"] for r in prep.mismatches(titles, expected).collect()) == [2, 3]

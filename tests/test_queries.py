@@ -10,7 +10,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert same(QUERIES[name](spark, sf_dir).toPandas(), duck(sf_dir).execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["tune_boost", "tag_count_params", "tag_ls_agreement", "als_fold_in", "title_tokens_stemmed", "search_stemmed", "recommend_tag_count", "recommend_tag_ls", "recommend_als3"])
+@pytest.mark.parametrize("name", ["tag_count_params", "tag_ls_agreement", "als_fold_in", "title_tokens_stemmed", "search_stemmed", "recommend_tag_count", "recommend_tag_ls", "recommend_als3"])
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

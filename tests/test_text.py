@@ -44,6 +44,13 @@ def test_bigrams_and_search(spark):
     assert [r["term"] for r in terms_ending(index, "k").collect()] == ["trek"]
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    titles = spark.createDataFrame([(1, "alpha beta"), (1, "gamma delta")], "item_id long, title string")
+    for stem in (False, True):
+        assert sorted(r["tokens"] for r in term_lists(titles, stem).collect()) == [["alpha", "beta"], ["gamma", "delta"]]
+    assert "Exchange" not in term_lists(titles)._jdf.queryExecution().toString()
+
+
 def test_index_is_saved(spark, tmp_path):
     index = build_index(spark.createDataFrame([(1, "Star Wars")], "item_id long, title string"))
     index.save(f"{tmp_path}/index")
