@@ -282,3 +282,26 @@ def test_synthetic_ratings_and_json(spark):
     assert np.linalg.matrix_rank(matrix, tol=1e-6) == 3
     df = spark.createDataFrame([(1, None)], "movie_id long, title string")
     assert serving.as_json(df).first()["value"] == '{"movie_id":1,"title":null}'
+
+
+def test_ratings_are_given_and_taken_back(spark):
+    t = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s)
+    live = spark.createDataFrame([(7, 1, 4.0, t(1)), (8, 1, 3.0, t(1))], "user_id long, item_id long, rating double, event_time timestamp")
+    rows = lambda df: sorted((r["user_id"], r["item_id"], r["rating"]) for r in df.collect())
+    assert rows(serving.rate(live, 7, 1, 2, t(2))) == [(7, 1, 2.0), (8, 1, 3.0)]
+    assert rows(serving.rate(live, 7, 2, 5, t(2))) == [(7, 1, 4.0), (7, 2, 5.0), (8, 1, 3.0)]
+    assert rows(serving.rate(live, 7, 1, None, t(2))) == [(8, 1, 3.0)] and rows(serving.rate(live, 9, 9, None, t(2))) == rows(live)
+
+
+def test_recommendations_are_kept_and_rotate(spark, tmp_path):
+    t, calls = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s), []
+
+    def compute(user_id, algorithm):
+        calls.append((user_id, algorithm))
+        return spark.createDataFrame([(100 + i, i, 1.0 / i) for i in range(1, 11)], "item_id long, rank int, score double")
+
+    kept = serving.Recommendations(f"file://{tmp_path}/kept", compute)
+    get = lambda changed, now: sorted(r["rank"] for r in kept.get(spark, 7, "als3", changed, now).collect())
+    assert [get(t(1), t(2)) for _ in range(5)] == [[1, 5, 9], [2, 6, 10], [3, 7], [4, 8], [1, 5, 9]] and len(calls) == 1
+    assert get(t(2), t(3)) == [1, 5, 9] and len(calls) == 2  # a change at the same time makes it stale
+    assert get(None, t(4)) == [2, 6, 10] and len(calls) == 2
