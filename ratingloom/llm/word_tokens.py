@@ -69,7 +69,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path).model
+        self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
