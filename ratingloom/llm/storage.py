@@ -8,6 +8,7 @@ run again writes the same file again.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -103,12 +104,15 @@ def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
 def slices(batches, rows: int = 2048, most: int = 32 << 20):
     """Record batches of at most ``rows`` rows and, unless one row has more, ``most`` bytes of text: what is made from a batch of texts is several times its size.
 
-    A worker process outlives its tasks: what Arrow holds unused after the last batch goes back to the system.
+    A worker process outlives its tasks: what Arrow and the C library hold unused after the last batch goes back to the system.
     """
     for batch in batches:
         for i, j in cuts(_row_bytes(batch), rows, most):
             yield batch.slice(i, j - i)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def put(uri: str, chunks) -> int:
