@@ -62,17 +62,52 @@ def _draw(seed: int, attempt: int) -> Column:
     return F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed)), F.lit(str(attempt))))
 
 
-def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int = 5, varied: bool = True) -> DataFrame:
+def _split_by_blocks(rows: DataFrame, ratio: float, seed: int, attempts: int, varied: bool, block: int) -> DataFrame:
+    """rows (with __n) with __test, as split, for users of many ratings.
+
+    A user's draws are dealt into ranges of about ``block`` ratings; a rating's rank is its rank in its range
+    after all ratings of the ranges before, which an aggregate counts. No user's ratings meet in one task.
+    """
+    out = None
+    for attempt in range(attempts if varied else 1):
+        share = F.conv(F.substring("__draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
+        dealt = rows.withColumn("__draw", _draw(seed, attempt)).withColumn("__range", F.floor(share * F.ceil(F.col("__n") / block)))
+        ranges = dealt.groupBy("__u", "__range").agg(F.count("*").alias("__size"))
+        earlier = Window.partitionBy("__u").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        before = ranges.select(F.col("__u").alias("__bu"), F.col("__range").alias("__br"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+        placed = dealt.join(before, F.col("__u").eqNullSafe(F.col("__bu")) & (F.col("__range") == F.col("__br")))
+        rank = F.row_number().over(Window.partitionBy("__u", "__range").orderBy("__draw", "item_id")) + F.col("__before")
+        tested = saved(placed.withColumn("__test", rank > F.floor(F.col("__n") * ratio)).select(*rows.columns, "__test"))
+        if not varied:
+            return tested
+        spread = F.min(F.when(F.col("__test"), F.col("rating"))) < F.max(F.when(F.col("__test"), F.col("rating")))
+        good = saved(tested.groupBy("__u").agg(spread.alias("__good")).where("__good").select(F.col("__u").alias("__gu")))
+        same = F.col("__u").eqNullSafe(F.col("__gu"))
+        found = tested.join(F.broadcast(good), same, "left_semi")
+        out = found if out is None else out.unionByName(found)
+        rows = tested.join(F.broadcast(good), same, "left_anti").drop("__test")
+        if rows.isEmpty():
+            break
+    return out
+
+
+def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int = 5, varied: bool = True, block: int = 1_000_000) -> DataFrame:
     """ratings with ``split``: 'train' for floor(n * ratio) of each user's ratings, drawn by hash, and 'test' for the rest.
 
     Users with ceil(2 / (1 - ratio)) ratings or fewer are dropped, and so are those whose test ratings
     are all equal in each of ``attempts`` draws; the first draw that isn't so counts. Without varied the
     first draw counts for all. Only the users whose first draw failed are ranked for the others, over the
-    same partitioning.
+    same partitioning. Users of more than ``block`` ratings, of whom there are at most ratings / block, are
+    ranked by ranges of draws, with the same result.
     """
     import math
 
     whole = Window.partitionBy("user_id")
+    hot = saved(ratings.groupBy(F.col("user_id").alias("__u")).agg(F.count("*").alias("__n")).where(F.col("__n") > max(block, math.ceil(2 / (1 - ratio)))))
+    of_hot = F.col("user_id").eqNullSafe(F.col("__u"))
+    columns, every, some_hot = ratings.columns, ratings, not hot.isEmpty()
+    if some_hot:
+        ratings = ratings.join(F.broadcast(hot), of_hot, "left_anti")
 
     def drawn(rows: DataFrame, of: range) -> DataFrame:
         """rows with __test: the first of these attempts whose test ratings differ; null if there is none."""
@@ -91,6 +126,9 @@ def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int
     if attempts > 1 and varied:
         again = drawn(first.where("__test is null").select(*ratings.columns, "__n"), range(1, attempts))
         out = out.unionByName(again.where("__test is not null").select(*ratings.columns, "__test"))
+    if some_hot:
+        blocks = _split_by_blocks(every.join(F.broadcast(hot), of_hot), ratio, seed, attempts, varied, block)
+        out = out.unionByName(blocks.select(*columns, "__test"))
     return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 

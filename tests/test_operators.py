@@ -42,6 +42,18 @@ def test_cosine_of_common_raters(spark):
     assert [(r["a"], r["b"], r["n_common"], round(r["cos"], 6)) for r in found] == [(1, 2, 3, 0.92)]
 
 
+def test_split_of_users_with_many_ratings(spark):
+    rows = [(u, i, float((u * i) % 5), i) for u, n in ((1, 300), (2, 20), (3, 40), (4, 6)) for i in range(n)] + [(None, i, float(i % 5), i) for i in range(60)]
+    rows += [(5, i, 3.0, i) for i in range(50)] + [(6, i, 4.0 if i == 7 else 3.0, i) for i in range(45)] + [(1, 3, 2.0, 0)] * 2
+    ratings = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double, at bigint")
+    for varied in (True, False):
+        whole, blocks = (prep.split(ratings, varied=varied, block=b) for b in (1_000_000, 16))
+        assert blocks.columns == whole.columns
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(key, blocks.drop("at").collect())) == sorted(map(key, whole.drop("at").collect()))
+    assert prep.split(ratings.limit(0), block=16).count() == 0
+
+
 def test_split(spark):
     rows = [(1, i, 1.0 + i % 5) for i in range(11)] + [(2, i, 1.0 + i % 5) for i in range(12)] + [(3, i, 3.0) for i in range(30)]
     got = prep.split(spark.createDataFrame(rows, RATINGS)).groupBy("user_id", "split").count().collect()
