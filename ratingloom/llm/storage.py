@@ -61,8 +61,13 @@ _FOLDERS: dict[int, tuple[weakref.ref, str]] = {}
 def dropped(df: DataFrame) -> None:
     """Delete the files of a stored() table; only for one that nothing will read again."""
     _, folder = _FOLDERS.pop(id(df))
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    erased(df.sparkSession, folder)
+
+
+def erased(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
