@@ -30,10 +30,10 @@ from .storage import new_file, new_folder, open_fs, saved, slices, stored
 #: A term, in lower-cased UTF-8: letters A to Z and everything beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE, SMOOTH = 1_000_000_000, 2
-#: Distinct (language, source, term) that a task holds before it sends them on; 200 characters of text count as one, as terms can be long.
-HELD = 200_000
+#: Distinct (language, source, term) that a task holds before it sends them on; 200 characters of text count as one more, as terms can be long.
+HELD = 400_000
 #: Terms of a block, sources of a cell, rounds of one task.
-BLOCK, CELL, ROUNDS = 1 << 16, 16, 64
+BLOCK, CELL, ROUNDS = 1 << 14, 16, 64
 
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 _VECTORS = pa.schema([("source", pa.string()), ("absent", pa.int64()), ("size", pa.int64()), ("codes", pa.list_(pa.int32())), ("p", pa.list_(pa.int64()))])
@@ -51,24 +51,36 @@ def term_counts(docs: DataFrame) -> DataFrame:
         seen, size = set(), 0
 
         def sent() -> pa.RecordBatch:
-            rows = [(*group, term.decode("utf-8"), n, own[1][term]) for group, own in held.items() for term, n in own[0].items()]
-            rows += [(*group, None, 0, 0) for group in held.keys() - seen]
-            seen.update(held)
+            columns = [[], [], [], [], []]
+            for (lang, source), (n, docs_) in held.items():
+                terms = list(n)
+                columns[2].append(pa.array(terms, pa.binary()).cast(pa.string()))
+                columns[3].append(pa.array(n.values(), pa.int64()))
+                columns[4].append(pa.array(map(docs_.__getitem__, terms), pa.int64(), size=len(terms)))
+                if (lang, source) not in seen:
+                    seen.add((lang, source))
+                    columns[2].append(pa.nulls(1, pa.string()))
+                    columns[3].append(pa.array([0]))
+                    columns[4].append(pa.array([0]))
+                rows = sum(map(len, columns[2])) - sum(map(len, columns[0]))
+                columns[0].append(pa.repeat(pa.scalar(lang, pa.string()), rows))
+                columns[1].append(pa.repeat(pa.scalar(source, pa.string()), rows))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "source", "term", "n", "docs"])
 
         for batch in slices(batches):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 n, docs_ = held[lang, source]
-                found = Counter(TERM.findall(text.encode("utf-8", "surrogatepass").lower()))
+                words = TERM.findall(text.encode("utf-8", "surrogatepass").lower())
                 before = len(n)
-                n.update(found)
-                docs_.update(found.keys())
+                n.update(words)
+                docs_.update(set(words))
                 size += len(n) - before + len(text) // 200
                 if size > HELD:
                     yield sent()
                     size = 0
-        yield sent()
+        if held:
+            yield sent()
 
     empty = F.lit("")
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("lang", "source", "text"))).mapInArrow(run, _COUNTS)
