@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ STEMS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text: cut at white space and hyphens, and at a single slash in words of six letters and more."""
     hyphens = lambda w: F.filter(F.split(w, "-"), lambda p: p != "")
@@ -37,15 +44,14 @@ def stripped(word: Column) -> Column:
     for mark in STARTS:
         word = F.ltrim(word, F.lit(mark))
     for mark in ENDS:
-        word = F.rtrim(word, F.lit(mark)) if len(mark) == 1 else F.when(F.endswith(word, F.lit(mark)), F.rtrim(word, F.lit(mark))).otherwise(word)
+        word = F.rtrim(word, F.lit(mark)) if len(mark) == 1 else let(word, lambda w: F.when(F.endswith(w, F.lit(mark)), F.rtrim(w, F.lit(mark))).otherwise(w))  # noqa: B023
     return word
 
 
 def mapped(word: Column) -> Column:
     """A word without a possessive end, or what it stands for."""
-    bare = F.regexp_replace(word, "'s$", "")
     table = F.create_map(*(F.lit(x) for pair in STEMS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, bare), bare)
+    return let(F.regexp_replace(word, "'s$", ""), lambda bare: F.coalesce(F.try_element_at(table, bare), bare))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -61,12 +67,15 @@ def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else [of(x) for x in w])
 
 
-def terms(text: Column, stem: bool = True) -> Column:
-    """The terms of a text, in order: an array, empty for null, empty and stop-word texts."""
+def _paired(text: Column) -> Column:
+    """The words of a text that are no stop words, in lower case as r and cleaned as t."""
     raw = F.filter(F.transform(words(text), F.lower), lambda w: ~is_stop(w))
-    cleaned = F.transform(raw, lambda w: mapped(stripped(w)))
-    both = F.zip_with(raw, stemmed(cleaned) if stem else cleaned, lambda r, t: F.struct(r.alias("r"), t.alias("t")))
-    kept = F.filter(both, lambda x: (F.length(x["t"]) > 0) & ~((F.length(x["t"]) < F.length(x["r"])) & is_stop(x["t"])))
+    return F.transform(raw, lambda w: F.struct(w.alias("r"), mapped(stripped(w)).alias("t")))
+
+
+def _kept(pairs: Column) -> Column:
+    """The terms of cleaned words: those that are not empty, and no stop words that only cleaning made."""
+    kept = F.filter(pairs, lambda x: (F.length(x["t"]) > 0) & ~((F.length(x["t"]) < F.length(x["r"])) & is_stop(x["t"])))
     return F.transform(kept, lambda x: x["t"])
 
 
@@ -74,9 +83,13 @@ def term_lists(titles: DataFrame, stem: bool = True, id_col: str = "item_id", te
     """(item_id, tokens array<string>): the terms of each title, in order; nothing is shuffled.
 
     One row for each row of titles, also where rows share an id; null and empty titles, and those of stop
-    words only, have none.
+    words only, have an empty array.
     """
-    return titles.select(F.col(id_col).alias("item_id"), terms(F.col(text_col), stem).alias("tokens")).where(F.size("tokens") > 0)
+    paired = titles.select(F.col(id_col).alias("item_id"), _paired(F.col(text_col)).alias("pairs"))
+    if stem:
+        stems = paired.withColumn("stems", stemmed(F.col("pairs")["t"]))
+        paired = stems.select("item_id", F.zip_with(F.col("pairs"), "stems", lambda x, t: F.struct(x["r"].alias("r"), t.alias("t"))).alias("pairs"))
+    return paired.select("item_id", _kept(F.col("pairs")).alias("tokens"))
 
 
 def tokens(lists: DataFrame) -> DataFrame:
@@ -86,5 +99,6 @@ def tokens(lists: DataFrame) -> DataFrame:
 
 def bigrams(lists: DataFrame) -> DataFrame:
     """(item_id, pos, bigram): neighbours among the terms of each title, joined by a blank."""
-    pairs = F.zip_with(F.slice("tokens", F.lit(1), F.size("tokens") - 1), F.slice("tokens", F.lit(2), F.size("tokens") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    n = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("tokens", F.lit(1), n), F.slice("tokens", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return lists.select("item_id", F.posexplode(pairs).alias("pos", "bigram"))

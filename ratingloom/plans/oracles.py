@@ -108,6 +108,10 @@ _NEEDS = {
 }
 
 
+#: Common tables that are computed once: others name their columns very often.
+_ONCE = ("bare", "terms")
+
+
 def _sql(select: str, *needs: str) -> str:
     """select behind the common tables that it needs, in order."""
     order: list[str] = []
@@ -120,7 +124,7 @@ def _sql(select: str, *needs: str) -> str:
 
     for name in needs:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n]})" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _ONCE else ''}({_CTE[n]})" for n in order) + "\n" + select
 
 
 def _kcore(k: int, rounds: int = 8) -> str:
