@@ -209,6 +209,10 @@ ORACLES = {
     "search_saved_index": _sql(_SEARCHED, "term_n"),
     "spmv": _sql("SELECT i, round(sum(m.v * (0.5::DOUBLE + x.item_id % 7)), 6) AS v FROM matrix m JOIN (SELECT DISTINCT item_id FROM ratings) x ON x.item_id = m.j GROUP BY i", "matrix"),
     "spmv_t": _sql("SELECT j AS i, round(sum(m.v * (0.5::DOUBLE + m.i % 7)), 6) AS v FROM matrix m GROUP BY j", "matrix"),
+    "block_spmv": _sql("SELECT i, round(sum(m.v * (0.5::DOUBLE + x.item_id % 7)), 6) AS v FROM matrix m JOIN (SELECT DISTINCT item_id FROM ratings) x ON x.item_id = m.j GROUP BY i", "matrix"),
+    "block_spmv_t": _sql("SELECT j AS i, round(sum(m.v * (0.5::DOUBLE + m.i % 7)), 6) AS v FROM matrix m GROUP BY j", "matrix"),
+    "block_entries": _sql("SELECT i, j, v FROM matrix", "matrix"),
+    **{f"{name}_optimality": "SELECT l_partkey AS part, CAST(count(*) AS BIGINT) AS n, 0.0::DOUBLE AS gradient FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey" for name in ("lsqr", "lsmr")},
     "transpose": _sql("SELECT j AS i, i AS j, v FROM matrix", "matrix"),
     "axpby": _sql("SELECT item_id AS i, round(2.0::DOUBLE * center - 0.5::DOUBLE * n, 6) AS v FROM centers", "centers"),
     "dot": _sql("SELECT round(sum(center * n), 6) AS dot FROM centers", "centers"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numeric import dot as product
 from ..functions.numeric import num_factors
-from ..operators import agreement, linalg, models, prep, search, serving, similar
+from ..operators import agreement, block_matrix, linalg, models, prep, search, serving, similar
 from ..session import new_folder, saved
 from ..sources import readers, testdata
 
@@ -535,6 +535,67 @@ def cg_least_squares(spark, sf_dir):
     return x.withColumns({"iterations": F.lit(iterations), "final_rr": F.lit(float(final_rr))})
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> block_matrix.BlockMatrix:
+    return block_matrix.BlockMatrix.from_entries(_matrix(spark, sf_dir))
+
+
+@query
+def block_spmv(spark, sf_dir):
+    m = _blocks(spark, sf_dir)
+    return rounded(m.times(_vector(m.columns.numbers().select(F.col("id").alias("i")))), "v")
+
+
+@query
+def block_spmv_t(spark, sf_dir):
+    m = _blocks(spark, sf_dir)
+    return rounded(m.transpose().times(_vector(m.rows.numbers().select(F.col("id").alias("i")))), "v")
+
+
+@query
+def block_entries(spark, sf_dir):
+    """The matrix, cut into blocks and put together again."""
+    return _blocks(spark, sf_dir).entries()
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What an order costs as a sum over its parts: quantities (order, part) and totals of orders."""
+    lines = testdata.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    return lines, testdata.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").cast("double").alias("v"))
+
+
+def _priced(solve: Callable[..., block_matrix.Solution], **how) -> Query:
+    """The parts' prices that explain the orders' totals best, and how the solver ended."""
+
+    def run(spark, sf_dir):
+        entries, totals = _prices(spark, sf_dir)
+        found = solve(block_matrix.BlockMatrix.from_entries(entries), totals, **how)
+        told = {"stop": F.lit(found.stop), "rounds": F.lit(found.rounds)} | {c: F.lit(float(getattr(found, c))) for c in ("residual", "gradient", "norm", "condition", "size")}
+        return found.x.withColumns(told)
+
+    return run
+
+
+def _price_optimality(solve: Callable[..., block_matrix.Solution]) -> Query:
+    """(part, n, gradient): how far what is left of the totals is from being orthogonal to a part's quantities, as a cosine to four digits."""
+
+    def run(spark, sf_dir):
+        entries, totals = _prices(spark, sf_dir)
+        found = solve(block_matrix.BlockMatrix.from_entries(entries), totals, atol=1e-8, btol=1e-8)
+        given = linalg.spmv(entries, found.x)
+        left = saved(totals.join(given.withColumnRenamed("v", "given"), "i").select("i", (F.col("v") - F.col("given")).alias("left")))
+        size = left.agg(F.sqrt(F.sum(F.col("left") * F.col("left")))).first()[0] or 1.0
+        lines = entries.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("n")).join(left, "i")
+        cosine = F.abs(F.sum(F.col("v") * F.col("left"))) / (F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.lit(float(size)))
+        return lines.groupBy(F.col("j").alias("part")).agg(F.sum("n").alias("n"), F.round(cosine, 4).alias("gradient"))
+
+    return run
+
+
+for _name in ("lsqr", "lsmr"):
+    QUERIES[f"{_name}_prices"] = _priced(getattr(block_matrix, _name))
+    QUERIES[f"{_name}_optimality"] = _price_optimality(getattr(block_matrix, _name))
+
+
 @query
 def live_ratings(spark, sf_dir):
     return serving.live_ratings(testdata.rating_events(spark, sf_dir))

@@ -51,3 +51,10 @@ def saved(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut, on shared storage."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """df computed once and read back from Parquet on shared storage, and the folder it is in; for what is large, or soon to be deleted."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
