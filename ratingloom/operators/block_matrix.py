@@ -206,7 +206,7 @@ class BlockMatrix:
         folder, turned = self.folder, self.turned
         need, give, n = ("r", "c", "columns") if turned else ("c", "r", "rows")
         needs = self.blocks.select("block", F.col(need).alias("part"), F.col(give).alias("to"), F.col(n).alias("n"))
-        shipped = x.select("part", "v").join(F.broadcast(needs) if self.n_blocks <= BROADCAST else needs, "part").select("block", "to", "n", "v").repartition("block")
+        shipped = x.select("part", "v").join(F.broadcast(needs) if self.n_blocks <= BROADCAST else needs, "part").select("block", "to", "n", "v").repartition(max(1, self.n_blocks), "block")
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in source:

@@ -68,23 +68,19 @@ def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_squares(design: DataFrame, key: str, width: int, min_rows: int = 1) -> DataFrame:
-    """(key, coef array<double>, n bigint, sse double): for each key, the shortest b with least |y - x b|.
-
-    design holds the key (an integer column), x (an array of ``width`` doubles) and y. Rows with a null
-    are left out; keys with fewer than min_rows rows have no result. sse comes from the sums, so it is
-    exact to about 1e-16 of y'y only, and 0 where rounding would make it negative.
-    """
+def fitted(sums: np.ndarray, width: int, upper: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coef, n, sse) of each row of sums of products."""
+    m = np.empty((len(sums), width + 1, width + 1))
+    m[:, upper[0], upper[1]] = m[:, upper[1], upper[0]] = sums[:, :-1]
+    gram, right, n = m[:, :width, :width], m[:, :width, width], sums[:, -1].round().astype(np.int64)
+    coef = solve(gram, right)
+    sse = m[:, width, width] - 2 * np.einsum("ki,ki->k", coef, right) + np.einsum("ki,kij,kj->k", coef, gram, coef)
+    return coef, n, np.maximum(sse, 0.0)
+
+
+def added_up(rows: DataFrame, width: int, min_rows: int = 1) -> DataFrame:
+    """(key, coef, n, sse) of rows (key, s), s being a row (x, y) or a sum of products: a key's are added up in one task, then solved."""
     upper = np.triu_indices(width + 1)
-    rows = design.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).cast("bigint").alias("key"), "x", F.col("y").cast("double").alias("y"))
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, width)
-                keys, values = _sent(np.asarray(batch.column(0)), np.concatenate([x, np.asarray(batch.column(2), float)[:, None]], axis=1), upper)
-                ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], ["key", "s"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(keys, sums) of consecutive rows of one key, a key's last sum still open."""
@@ -102,13 +98,9 @@ def least_squares(design: DataFrame, key: str, width: int, min_rows: int = 1) ->
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            m = np.empty((len(keys), width + 1, width + 1))
-            m[:, upper[0], upper[1]] = m[:, upper[1], upper[0]] = sums[:, :-1]
-            gram, right, n = m[:, :width, :width], m[:, :width, width], sums[:, -1].round().astype(np.int64)
-            coef = solve(gram, right)
-            sse = m[:, width, width] - 2 * np.einsum("ki,ki->k", coef, right) + np.einsum("ki,kij,kj->k", coef, gram, coef)
+            coef, n, sse = fitted(sums, width, upper)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(coef.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(keys), lists, pa.array(n), pa.array(np.maximum(sse, 0.0))], ["key", "coef", "n", "sse"]).filter(pa.array(n >= min_rows))
+            return pa.RecordBatch.from_arrays([pa.array(keys), lists, pa.array(n), pa.array(sse)], ["key", "coef", "n", "sse"]).filter(pa.array(n >= min_rows))
 
         keys, sums = np.zeros(0, np.int64), np.zeros((0, len(upper[0]) + 1))
         for more, values in added(batches):
@@ -122,5 +114,27 @@ def least_squares(design: DataFrame, key: str, width: int, min_rows: int = 1) ->
         if len(keys):
             yield result(keys, sums)
 
-    dealt = rows.mapInArrow(partial, "key bigint, s array<double>").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(solved, "key bigint, coef array<double>, n bigint, sse double").withColumnRenamed("key", key)
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(solved, "key bigint, coef array<double>, n bigint, sse double")
+
+
+def least_squares(design: DataFrame, key: str, width: int, min_rows: int = 1) -> DataFrame:
+    """(key, coef array<double>, n bigint, sse double): for each key, the shortest b with least |y - x b|.
+
+    design holds the key (an integer column), x (an array of ``width`` doubles) and y. Rows with a null
+    are left out; keys with fewer than min_rows rows have no result. sse comes from the sums, so it is
+    exact to about 1e-16 of y'y only, and 0 where rounding would make it negative.
+    """
+    upper = np.triu_indices(width + 1)
+    rows = design.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).cast("bigint").alias("key"), "x", F.col("y").cast("double").alias("y"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, width)
+                keys, values = _sent(np.asarray(batch.column(0)), np.concatenate([x, np.asarray(batch.column(2), float)[:, None]], axis=1), upper)
+                ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], ["key", "s"])
+
+    sent = rows.mapInArrow(partial, "key bigint, s array<double>")
+    return added_up(sent, width, min_rows).withColumnRenamed("key", key)

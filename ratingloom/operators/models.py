@@ -12,18 +12,14 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import erased
 from ..functions.numeric import dot, num_factors
-from ..session import saved
+from ..session import saved, written
+from . import rating_blocks
 from .least_squares import least_squares
 from .prep import genre_counts, item_stats, kcore
 
 NEUTRAL = 3
-#: Factors of so many users or items are sent to all tasks; more of them are joined by a shuffle.
-BROADCAST = 200_000
-
-
-def _sent(factors: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(factors) if n <= BROADCAST else factors
 
 
 def _listed(rows: DataFrame, section: str, name: str, value: str, order: tuple[Column, ...], limit: int | None = None) -> DataFrame:
@@ -198,28 +194,31 @@ class ALS:
     sse: float
 
     @classmethod
-    def fit(cls, ratings: DataFrame, k: int = 3, centers: DataFrame | None = None, core: bool = True, seed: int = 42, min_rounds: int = 4, max_rounds: int = 200, gain: float = 0.01) -> ALS:
-        """Fitted on the k-core of ratings, unless core is False."""
+    def fit(cls, ratings: DataFrame, k: int = 3, centers: DataFrame | None = None, core: bool = True, seed: int = 42, min_rounds: int = 4, max_rounds: int = 200, gain: float = 0.01, block: int = rating_blocks.BLOCK) -> ALS:
+        """Fitted on the k-core of ratings, unless core is False, which also takes ratings that are a core already.
+
+        Ratings are cut into blocks once; a round ships factors to the blocks that need them and reads nothing else.
+        """
         centers = item_stats(ratings).select("item_id", "center") if centers is None else centers
         used = kcore(ratings, k) if core else ratings
-        rows = saved(used.join(centers, "item_id").select("user_id", "item_id", (F.col("rating") - F.col("center")).alias("y")))
+        rows = used.join(centers, "item_id").select("user_id", "item_id", (F.col("rating") - F.col("center")).alias("y")).where("user_id is not null and y is not null")
+        of_users, of_items = rating_blocks.cut(rows, block)
         # The first factors are drawn by hash, so that they don't depend on the partitions.
-        draw = lambda i: F.pmod(F.xxhash64("item_id", F.lit(seed), F.lit(i)), F.lit(2_000_001)) / 1_000_000.0 - 1.0
-        items = saved(rows.select("item_id").distinct().select("item_id", F.array(*(draw(i) for i in range(k))).alias("v")))
-        users, sse, n, n_items = None, None, 0, items.count()
+        draw = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(2_000_001)) / 1_000_000.0 - 1.0
+        items, folders = rating_blocks.drawn(of_items, F.array(*(draw(i) for i in range(k)))), []
+        users, sse, n = None, None, 0
         for n in range(1, max_rounds + 1):
-            by_user = rows.join(_sent(items, n_items), "item_id").select("user_id", F.concat("v", F.array(F.lit(1.0))).alias("x"), "y")
-            users = saved(least_squares(by_user, "user_id", k + 1).select("user_id", F.col("coef").alias("u")))
-            known = rows.join(_sent(users, users.count()), "user_id")
-            by_item = known.select("item_id", F.slice("u", 1, k).alias("x"), (F.col("y") - F.get("u", F.lit(k))).alias("y"))
-            solved = saved(least_squares(by_item, "item_id", k).select("item_id", F.col("coef").alias("v"), "sse"))
-            n_items, now = solved.agg(F.count("*"), F.coalesce(F.sum("sse"), F.lit(0.0))).first()
-            items = solved.select("item_id", "v")
+            users, of_round = written(of_users.solved(items, k + 1, k, constant=True), "als-users")
+            items, of_half = written(of_items.solved(users, k, k, bias=k), "als-items")
+            now = items.agg(F.coalesce(F.sum("sse"), F.lit(0.0))).first()[0]
+            for folder in folders:
+                erased(ratings.sparkSession, folder)
+            folders = [of_round, of_half]
             if n >= min_rounds and (sse is None or now > (1 - gain) * sse):
                 sse = now
                 break
             sse = now
-        return cls(k, centers, users, items, n, sse or 0.0)
+        return cls(k, centers, users.select(F.col("id").alias("user_id"), F.col("f").alias("u")), items.select(F.col("id").alias("item_id"), F.col("f").alias("v")), n, sse or 0.0)
 
     def transform(self, pairs: DataFrame) -> DataFrame:
         rows = pairs.join(self.items, "item_id", "left").join(self.users, "user_id", "left").join(self.centers, "item_id", "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import erased
 from ..functions.numeric import tag_weight
-from ..session import saved
+from ..session import saved, written
 
 
 def item_stats(ratings: DataFrame, center: str = "median") -> DataFrame:
@@ -160,18 +163,77 @@ def mismatches(items: DataFrame, expected: DataFrame) -> DataFrame:
     return named.where(~F.col("title").eqNullSafe(F.col("expected"))).select("item_id", "title", "expected")
 
 
-def kcore(train: DataFrame, k: int) -> DataFrame:
-    """The largest part of train in which each user has k + 1 ratings and each item k, at least.
+#: Users, items or counts of so many rows are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST = 200_000
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST else rows
+
+
+class _Degrees:
+    """How many of the rows that are left each user, or each item, has; lowered by what a round drops."""
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.key = key
+        self.left, self.folder = written(rows.groupBy(key).agg(F.count("*").alias("n")), "degrees")
 
-    Each round drops users, then items, by counts that are aggregated before they are shuffled, and is
-    kept on shared storage; the rounds end when nothing is dropped.
+    def below(self, least: int) -> tuple[DataFrame, int]:
+        """(key), and their number: those with too few rows."""
+        found = self.left.where(F.col("n") < least).select(self.key)
+        return found, found.count()
+
+    def lower(self, gone: DataFrame, n_gone: int, least: int) -> None:
+        """Take the rows that are gone from the degrees; those that had too few leave."""
+        lost = gone.groupBy(self.key).agg(F.count("*").alias("__lost"))
+        now = self.left.where(F.col("n") >= least).join(_small(lost, n_gone), self.key, "left").select(self.key, (F.col("n") - F.coalesce("__lost", F.lit(0))).alias("n"))
+        last = self.folder
+        self.left, self.folder = written(now, "degrees")
+        erased(gone.sparkSession, last)
+
+
+def cores(train: DataFrame, ks: tuple[int, ...] = (3, 5, 7, 9, 11)) -> DataFrame:
+    """train with ``k``: the largest of ks in whose core the row is, 0 if in none.
+
+    The core of k is the largest part of train in which each user has k + 1 ratings and each item k, at least.
+    Cores lie in each other, so one peel from the smallest k finds all. Degrees are counted once; a round looks
+    for the few users and items that fall short, finds their rows, and lowers the degrees that these rows
+    counted for: only what is dropped is shuffled. Rows are read again each round, and written anew where half
+    of them are gone. Rows without a user or an item are in no core.
     """
-    now, n = train, None
-    while True:
-        users = degrees(now, "user_id").where(F.col("n") >= k + 1).select("user_id")
-        fewer = now.join(users, "user_id", "left_semi")
-        items = degrees(fewer, "item_id").where(F.col("n") >= k).select("item_id")
-        now = saved(fewer.join(items, "item_id", "left_semi").select(*train.columns))
-        before, n = n, now.count()
-        if n == before:
-            return now
+    known = train.where("user_id is not null and item_id is not null")
+    rows, _ = written(known, "core-rows")
+    size, n_gone_of_base = rows.count(), 0
+    users, items = _Degrees(rows, "user_id"), _Degrees(rows, "item_id")
+    out, last, dropped = [train.where("user_id is null or item_id is null").withColumn("k", F.lit(0))], 0, []
+    for k in sorted(ks):
+        while True:
+            (few_users, n_users), (few_items, n_items) = users.below(k + 1), items.below(k)
+            if not n_users and not n_items:
+                break
+            # a row is reached by its user or its item; what went earlier is told apart by the degrees' own rows
+            reached = rows.join(_small(few_users.withColumn("__u", F.lit(True)), n_users), "user_id", "left").join(_small(few_items.withColumn("__i", F.lit(True)), n_items), "item_id", "left").where("__u or __i")
+            for keys, name, n in dropped:
+                reached = reached.join(_small(keys, n), name, "left_anti")
+            gone, _ = written(reached.select(*train.columns), "core-dropped")
+            n_gone = gone.count()
+            out.append(gone.withColumn("k", F.lit(last)))
+            kept_users, kept_items = written(few_users, "core-few")[0], written(few_items, "core-few")[0]
+            users.lower(gone, n_gone, k + 1)
+            items.lower(gone, n_gone, k)
+            dropped += [(kept_users, "user_id", n_users), (kept_items, "item_id", n_items)]
+            n_gone_of_base += n_gone
+            if 2 * n_gone_of_base > size or len(dropped) >= 16:
+                for keys, name, n in dropped:
+                    rows = rows.join(_small(keys, n), name, "left_anti")
+                rows, _ = written(rows.select(*train.columns), "core-rows")
+                size, n_gone_of_base, dropped = rows.count(), 0, []
+        last = k
+    for keys, name, n in dropped:
+        rows = rows.join(_small(keys, n), name, "left_anti")
+    return reduce(DataFrame.unionByName, [*out, rows.select(*train.columns).withColumn("k", F.lit(last))])
+
+
+def kcore(train: DataFrame, k: int) -> DataFrame:
+    """The largest part of train in which each user has k + 1 ratings and each item k, at least."""
+    return cores(train, (k,)).where(F.col("k") == k).select(*train.columns)

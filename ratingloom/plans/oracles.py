@@ -192,6 +192,7 @@ ORACLES = {
         """SELECT s.item_id, CAST(rank AS INTEGER) AS rank, similar_id, coalesce(p_name, 'None') AS title, coalesce(CAST(page_id AS VARCHAR), 'None') AS tmdb_id, coalesce(url, 'None') AS poster_url
         FROM top_similar s LEFT JOIN part ON p_partkey = similar_id LEFT JOIN pages ON page_id = similar_id""", "top_similar"),
     **{f"kcore_k{k}": _kcore(k) for k in (3, 5, 7, 9, 11)},
+    "kcores": "SELECT user_id, item_id, rating, max(k) AS k FROM (" + " UNION ALL ".join(f"SELECT *, {k} AS k FROM ({_kcore(k)})" for k in (3, 5, 7, 9, 11)) + ") GROUP BY user_id, item_id, rating",
     "user_tag_profile": _sql("SELECT user_id, tag, round(score, 6) AS score FROM of_tags", "of_tags"),
     "user_genre_profile": _sql("SELECT user_id, genre, round(score, 6) AS score FROM of_genres", "of_genres"),
     "profile_dots": _sql("SELECT user_id, item_id, round(tag_dot, 6) AS tag_dot, round(genre_dot, 6) AS genre_dot FROM dots", "dots"),

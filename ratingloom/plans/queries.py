@@ -260,6 +260,12 @@ for _k in (3, 5, 7, 9, 11):
     QUERIES[f"kcore_k{_k}"] = _core(_k)
 
 
+@query
+def kcores(spark, sf_dir):
+    """Each training rating with the largest of the five cores that it is in."""
+    return prep.cores(_split(spark, sf_dir)[0], ALS_FACTORS).where("k > 0")
+
+
 @query
 def user_tag_profile(spark, sf_dir):
     return rounded(models.tag_profile(testdata.ratings(spark, sf_dir), _item_tags(spark, sf_dir)), "score")
@@ -367,57 +373,64 @@ def tag_count_optimality(spark, sf_dir):
     return fits[0].unionByName(fits[1])
 
 
+#: The numbers of factors that the reference fits.
+ALS_FACTORS = (3, 5, 7, 9, 11)
+
+
+def _by_k(train: DataFrame, rows: Callable[[models.ALS, DataFrame], DataFrame]) -> DataFrame:
+    """What each number of factors gives, which is column k, from its model and the core that it is fitted on.
+
+    The cores come from one peel; the fits run side by side, as their rounds are short.
+    """
+    of = saved(prep.cores(train, ALS_FACTORS))
+    centers = saved(prep.item_stats(train).select("item_id", "center"))
+
+    def one(k: int) -> DataFrame:
+        core = of.where(F.col("k") >= k).drop("k")
+        return rows(models.ALS.fit(core, k, centers, core=False), core).withColumn("k", F.lit(k))
+
+    with ThreadPoolExecutor(len(ALS_FACTORS)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, ALS_FACTORS))
+
+
 @query
 def als_optimality(spark, sf_dir):
     """Of each number of factors, each item's factors are a least-squares fit to the users' ones."""
-    train = _split(spark, sf_dir)[0]
 
-    def rows(k):
-        model = models.ALS.fit(train, k)
-        used = prep.kcore(train, k).join(model.centers, "item_id").join(model.users, "user_id").join(model.items, "item_id")
+    def rows(model, core):
+        k = model.k
+        used = core.join(model.centers, "item_id").join(model.users, "user_id").join(model.items, "item_id")
         design = used.select("item_id", "v", F.slice("u", 1, k).alias("x"), (F.col("rating") - F.col("center") - F.get("u", F.lit(k))).alias("y"))
         return _largest(design, "item_id", k, F.col("y") - product("x", "v"))
 
-    return _by_k(rows)
-
-
-#: The numbers of factors that the reference fits.
-ALS_FACTORS = (3, 5, 7, 9, 11)
-
-
-def _by_k(rows: Callable[[int], DataFrame]) -> DataFrame:
-    """The rows of each number of factors, which is column k; the fits run side by side, as their rounds are short."""
-    with ThreadPoolExecutor(len(ALS_FACTORS)) as pool:
-        return reduce(DataFrame.unionByName, (of.withColumn("k", F.lit(k)) for k, of in zip(ALS_FACTORS, pool.map(rows, ALS_FACTORS))))
+    return _by_k(_split(spark, sf_dir)[0], rows)
 
 
 @query
 def als_fit(spark, sf_dir):
-    train = _split(spark, sf_dir)[0]
-    return _by_k(lambda k: models.ALS.fit(train, k).items)
+    return _by_k(_split(spark, sf_dir)[0], lambda model, _: model.items)
 
 
 @query
 def als_predict(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _by_k(lambda k: models.ALS.fit(train, k).transform(test))
+    return _by_k(train, lambda model, _: model.transform(test))
 
 
 @query
 def als_eval_by_k(spark, sf_dir):
     train, test = _split(spark, sf_dir)
 
-    def row(k):
-        model = models.ALS.fit(train, k)
+    def row(model, _):
         return agreement.summarize(agreement.rank_agreement(model.transform(test))).select(F.lit(model.rounds).alias("rounds"), "users", "mean", "trimmed_mean")
 
-    return _by_k(row).select("k", "rounds", "users", "mean", "trimmed_mean")
+    return _by_k(train, row).select("k", "rounds", "users", "mean", "trimmed_mean")
 
 
 @query
 def als_fold_in(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _by_k(lambda k: models.ALS.fit(train, k).fold_in(test, center=True).params())
+    return _by_k(train, lambda model, _: model.fold_in(test, center=True).params())
 
 
 def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> search.Index:

@@ -123,17 +123,18 @@ def test_sums_are_sent_only_in_place_of_more_numbers():
 
 
 def test_als_recovers_what_made_the_ratings(spark):
+    """With noise of 0.1, held-out ratings are told to 0.15 on the average, also by users that are folded in."""
     rng = np.random.default_rng(0)
-    users, items = rng.uniform(-2, 2, (40, 3)), rng.uniform(-2, 2, (45, 3))
-    rows = [(u, i, float(users[u] @ items[i] + rng.normal(0, 0.05))) for u in range(40) for i in range(45)]
+    users, items = rng.uniform(-2, 2, (80, 3)), rng.uniform(-2, 2, (90, 3))
+    rows = [(u, i, float(users[u] @ items[i] + rng.normal(0, 0.1))) for u in range(80) for i in range(90)]
     held = {(u, i) for u, i, _ in rows if rng.random() < 0.2}
     train = spark.createDataFrame([r for r in rows if r[:2] not in held], RATINGS)
     test = spark.createDataFrame([r for r in rows if r[:2] in held], RATINGS)
     zero = train.select("item_id").distinct().withColumn("center", F.lit(0.0))
-    model = models.ALS.fit(train, 3, centers=zero, core=False, max_rounds=25, gain=0.001)
-    assert agreement.mean_error(model.transform(test)).first()["mae"] < 0.2
+    model = models.ALS.fit(train, 3, centers=zero, core=False, max_rounds=12, gain=0.001)
+    assert agreement.mean_error(model.transform(test)).first()["mae"] < 0.15
     folded = model.fold_in(train.where("user_id < 5"), center=True)
-    assert agreement.mean_error(folded.transform(test.where("user_id < 5"))).first()["mae"] < 0.25
+    assert agreement.mean_error(folded.transform(test.where("user_id < 5"))).first()["mae"] < 0.15
 
 
 def test_tag_models_fall_back_to_the_median(spark):
