@@ -223,6 +223,14 @@ ORACLES = {
     "rated_items": _sql(
         """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, p_name NULLS FIRST, item_id) AS INTEGER) AS rank, item_id, p_name AS title, rating
         FROM ratings LEFT JOIN part ON p_partkey = item_id""", "ratings"),
+    "recommend_all_genres": _sql(
+        """SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, score FROM (
+        SELECT u.user_id, i.item_id, i.center + coalesce(m.n, 0) AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY i.center + coalesce(m.n, 0) DESC, i.item_id DESC) AS rank
+        FROM (SELECT DISTINCT user_id FROM ratings) u CROSS JOIN (SELECT * FROM centers WHERE item_id IN (SELECT item_id FROM item_genres)) i
+        LEFT JOIN (SELECT user_id, g.item_id, sum(n) AS n FROM item_genres g JOIN (
+            SELECT user_id, genre, CAST(count(*) AS DOUBLE) AS n FROM ratings JOIN item_genres USING (item_id) GROUP BY user_id, genre) USING (genre) GROUP BY user_id, g.item_id) m
+        ON m.user_id = u.user_id AND m.item_id = i.item_id
+        WHERE (u.user_id, i.item_id) NOT IN (SELECT (user_id, item_id) FROM ratings)) WHERE rank <= 400""", "ratings", "item_genres", "centers"),
     "rotation": _sql("SELECT item_id, CAST(rank AS INTEGER) AS rank, similar_id FROM top_similar WHERE (rank - 1) % 4 = 1", "top_similar"),
     "rec_staleness": _sql("SELECT user_id, 'tag_ls' AS algorithm FROM rating_events GROUP BY user_id HAVING max(event_time) >= TIMESTAMP '2024-01-15'", "rating_events"),
     "enrichment_missing": "SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT page_id FROM pages) AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",

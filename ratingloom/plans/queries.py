@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numeric import dot as product
 from ..functions.numeric import num_factors
-from ..operators import agreement, block_matrix, linalg, models, prep, search, serving, similar
+from ..operators import agreement, block_matrix, linalg, models, prep, search, serving, similar, top_items
 from ..session import new_folder, saved
 from ..sources import readers, testdata
 
@@ -433,6 +433,34 @@ def als_fold_in(spark, sf_dir):
     return _by_k(train, lambda model, _: model.fold_in(test, center=True).params())
 
 
+@query
+def recommend_all_als3(spark, sf_dir):
+    """Of each user that has factors, the 400 items not rated with the best predictions."""
+    ratings = testdata.ratings(spark, sf_dir)
+    model = models.ALS.fit(ratings, 3)
+    users = model.users.select("user_id", F.slice("u", 1, 3).alias("u"), F.get("u", F.lit(3)).alias("b"))
+    items = model.items.join(model.centers, "item_id").select("item_id", "v", F.col("center").alias("offset"))
+    return top_items.best_items(users, items, ratings, serving.KEPT)
+
+
+@query
+def recommend_all_genres(spark, sf_dir):
+    """Of each user, the 400 items not rated with the largest sum, over their genres, of how many of the user's items have each, plus the item's median."""
+    ratings, genres = testdata.ratings(spark, sf_dir), _genres(spark, sf_dir)
+    ids = saved(prep.numbered(genres, "genre", "item_id"))
+    width = ids.count()
+    numbered = saved(genres.join(ids, "genre").select("item_id", "id"))
+
+    def listed(rows: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+        """(key, out): an array of the genres' values, in the order of their numbers."""
+        table = rows.groupBy(key, "id").agg(value.cast("double").alias("x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", "x"))).alias("m"))
+        return table.select(key, F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(out))
+
+    users = listed(ratings.join(numbered, "item_id"), "user_id", F.count("*"), "u").withColumn("b", F.lit(0.0))
+    items = listed(numbered, "item_id", F.max(F.lit(1.0)), "v").join(prep.item_stats(ratings).select("item_id", F.col("center").alias("offset")), "item_id")
+    return top_items.best_items(users, items, ratings, serving.KEPT)
+
+
 def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> search.Index:
     return search.build_index(testdata.titles(spark, sf_dir), stem)
 
