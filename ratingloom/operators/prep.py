@@ -12,6 +12,14 @@ from ..functions.numeric import tag_weight
 from ..session import saved, written
 
 
+#: Users, items or counts of so many rows are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST = 200_000
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST else rows
+
+
 def item_stats(ratings: DataFrame, center: str = "median") -> DataFrame:
     """(item_id, center, n): the exact median (or mean) of each item's ratings, and their number."""
     value = F.median("rating") if center == "median" else F.avg("rating")
@@ -85,10 +93,10 @@ def _split_by_blocks(rows: DataFrame, ratio: float, seed: int, attempts: int, va
             return tested
         spread = F.min(F.when(F.col("__test"), F.col("rating"))) < F.max(F.when(F.col("__test"), F.col("rating")))
         good = saved(tested.groupBy("__u").agg(spread.alias("__good")).where("__good").select(F.col("__u").alias("__gu")))
-        same = F.col("__u").eqNullSafe(F.col("__gu"))
-        found = tested.join(F.broadcast(good), same, "left_semi")
+        good, same = _small(good, good.count()), F.col("__u").eqNullSafe(F.col("__gu"))
+        found = tested.join(good, same, "left_semi")
         out = found if out is None else out.unionByName(found)
-        rows = tested.join(F.broadcast(good), same, "left_anti").drop("__test")
+        rows = tested.join(good, same, "left_anti").drop("__test")
         if rows.isEmpty():
             break
     return out
@@ -106,11 +114,12 @@ def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int
     import math
 
     whole = Window.partitionBy("user_id")
+    ratings, _ = written(ratings, "split")  # they are passed over twice: to find hot users, and to rank
     hot = saved(ratings.groupBy(F.col("user_id").alias("__u")).agg(F.count("*").alias("__n")).where(F.col("__n") > max(block, math.ceil(2 / (1 - ratio)))))
     of_hot = F.col("user_id").eqNullSafe(F.col("__u"))
-    columns, every, some_hot = ratings.columns, ratings, not hot.isEmpty()
-    if some_hot:
-        ratings = ratings.join(F.broadcast(hot), of_hot, "left_anti")
+    columns, every, n_hot = ratings.columns, ratings, hot.count()
+    if n_hot:
+        ratings = ratings.join(_small(hot, n_hot), of_hot, "left_anti")
 
     def drawn(rows: DataFrame, of: range) -> DataFrame:
         """rows with __test: the first of these attempts whose test ratings differ; null if there is none."""
@@ -129,8 +138,8 @@ def split(ratings: DataFrame, ratio: float = 0.8, seed: int = 42, attempts: int
     if attempts > 1 and varied:
         again = drawn(first.where("__test is null").select(*ratings.columns, "__n"), range(1, attempts))
         out = out.unionByName(again.where("__test is not null").select(*ratings.columns, "__test"))
-    if some_hot:
-        blocks = _split_by_blocks(every.join(F.broadcast(hot), of_hot), ratio, seed, attempts, varied, block)
+    if n_hot:
+        blocks = _split_by_blocks(every.join(_small(hot, n_hot), of_hot), ratio, seed, attempts, varied, block)
         out = out.unionByName(blocks.select(*columns, "__test"))
     return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
@@ -163,14 +172,6 @@ def mismatches(items: DataFrame, expected: DataFrame) -> DataFrame:
     return named.where(~F.col("title").eqNullSafe(F.col("expected"))).select("item_id", "title", "expected")
 
 
-#: Users, items or counts of so many rows are sent to all tasks; more of them are joined by a shuffle.
-BROADCAST = 200_000
-
-
-def _small(rows: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(rows) if n <= BROADCAST else rows
-
-
 class _Degrees:
     """How many of the rows that are left each user, or each item, has; lowered by what a round drops."""
 

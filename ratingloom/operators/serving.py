@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from ..sources.store import Store
 from .models import ALS, TagCount, TagLS
 from .search import Index, search
 
@@ -74,30 +76,58 @@ def rate(live: DataFrame, user_id: int, item_id: int, rating: float | None, at:
     return rest.unionByName(live.sparkSession.createDataFrame([(user_id, item_id, float(rating), at)], live.schema))
 
 
+#: What is kept of a user's recommendations by an algorithm: at most KEPT items, and whose turn it is.
+KEPT_ROW = "user_id bigint, algorithm string, computed timestamp, turn int, items array<struct<item_id: bigint, rank: int, score: double>>"
+
+
 @dataclasses.dataclass
 class Recommendations:
-    """Kept recommendations: a table (user_id, algorithm, computed, item_id, rank, score) at a path, partitioned by user and algorithm.
+    """Recommendations kept in a keyed store, a row for each user and algorithm.
 
-    A request gets every ROTATIONS-th of them, each time the next ones; they are computed anew where the
-    user's ratings have changed since, or at the same time.
+    compute takes users (user_id) and an algorithm, and gives (user_id, item_id, rank, score) for all of them in
+    one job. A request gets every ROTATIONS-th of what is kept, each time the next ones; whose turn it is stays in
+    the row, and so outlives a restart.
     """
 
-    path: str
-    compute: Callable[[int, str], DataFrame]
-    turns: dict[tuple[int, str], int] = dataclasses.field(default_factory=dict)
-
-    def get(self, spark: SparkSession, user_id: int, algorithm: str, changed: datetime.datetime | None, now: datetime.datetime) -> DataFrame:
-        """(item_id, rank, score) of this turn. ``changed`` is when the user's ratings last changed, None if never."""
-        own = f"{self.path}/user_id={user_id}/algorithm={algorithm}"
-        kept = spark._jvm.org.apache.hadoop.fs.Path(own, "_SUCCESS")
-        there = kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept)
-        computed = spark.read.parquet(own).agg(F.max("computed")).first()[0] if there else None
-        if computed is None or (changed is not None and computed <= changed):
-            self.compute(user_id, algorithm).select("item_id", "rank", "score").withColumn("computed", F.lit(now)).write.mode("overwrite").parquet(own)
-            self.turns[user_id, algorithm] = 0
-        turn = self.turns.get((user_id, algorithm), 0)
-        self.turns[user_id, algorithm] = (turn + 1) % ROTATIONS
-        return rotation(spark.read.parquet(own), turn).select("item_id", "rank", "score")
+    store: Store
+    compute: Callable[[DataFrame, str], DataFrame]
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, compute: Callable[[DataFrame, str], DataFrame], buckets: int = 64) -> Recommendations:
+        return cls(Store.create(spark, path, KEPT_ROW, ("user_id", "algorithm"), buckets), compute)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, compute: Callable[[DataFrame, str], DataFrame]) -> Recommendations:
+        return cls(Store.open(spark, path), compute)
+
+    def stale(self, changed: DataFrame, algorithms: tuple[str, ...]) -> DataFrame:
+        """(user_id, algorithm) of users (user_id, changed): those without a row, or with one computed no later than the ratings' last change."""
+        wanted = changed.select("user_id", "changed", F.explode(F.array(*map(F.lit, algorithms))).alias("algorithm"))
+        kept = self.store.read().select("user_id", "algorithm", "computed")
+        return wanted.join(kept, ["user_id", "algorithm"], "left").where("computed is null or computed <= changed").select("user_id", "algorithm")
+
+    def refresh(self, changed: DataFrame, algorithms: tuple[str, ...], now: datetime.datetime) -> int:
+        """Compute what is stale, and only that, and put it in one batch, first turn first; the store's version. Users for whom nothing is computed get no row."""
+        due, _ = written(self.stale(changed, algorithms), "stale")
+        rows = None
+        for algorithm in algorithms:
+            found = self.compute(due.where(F.col("algorithm") == algorithm).select("user_id"), algorithm)
+            items = F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "item_id", "score")))
+            own = found.where(F.col("rank") <= KEPT).groupBy("user_id").agg(F.transform(items, lambda x: F.struct(x["item_id"].alias("item_id"), x["rank"].alias("rank"), x["score"].alias("score"))).alias("items"))
+            own = own.select("user_id", F.lit(algorithm).alias("algorithm"), F.lit(now).alias("computed"), F.lit(0).alias("turn"), "items")
+            rows = own if rows is None else rows.unionByName(own)
+        return self.store.put(rows)
+
+    def get(self, user_id: int, algorithm: str, changed: datetime.datetime | None, now: datetime.datetime) -> DataFrame:
+        """(item_id, rank, score) of this turn, computed anew if stale. ``changed`` is when the user's ratings last changed, None if never."""
+        spark, row = self.store.spark, self.store.get(user_id, algorithm).first()
+        if row is None or (changed is not None and row["computed"] <= changed):
+            self.refresh(spark.createDataFrame([(user_id, changed or now)], "user_id bigint, changed timestamp"), (algorithm,), now)
+            row = self.store.get(user_id, algorithm).first()
+        if row is None:
+            return spark.createDataFrame([], "item_id bigint, rank int, score double")
+        self.store.put(spark.createDataFrame([(*row[:3], (row["turn"] + 1) % ROTATIONS, row["items"])], KEPT_ROW))
+        return rotation(spark.createDataFrame(row["items"], "item_id bigint, rank int, score double"), row["turn"])
 
 
 @dataclasses.dataclass

@@ -232,6 +232,10 @@ ORACLES = {
         ON m.user_id = u.user_id AND m.item_id = i.item_id
         WHERE (u.user_id, i.item_id) NOT IN (SELECT (user_id, item_id) FROM ratings)) WHERE rank <= 400""", "ratings", "item_genres", "centers"),
     "rotation": _sql("SELECT item_id, CAST(rank AS INTEGER) AS rank, similar_id FROM top_similar WHERE (rank - 1) % 4 = 1", "top_similar"),
+    "store_live_ratings": _sql("SELECT user_id, item_id, rating FROM live", "live"),
+    "recommendations_refreshed": _sql(
+        """SELECT user_id, 'popular' AS algorithm, CASE WHEN max(event_time) >= TIMESTAMP '2024-01-15' THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-01-15' END AS computed, CAST(20 AS INTEGER) AS n
+        FROM rating_events GROUP BY user_id""", "rating_events"),
     "rec_staleness": _sql("SELECT user_id, 'tag_ls' AS algorithm FROM rating_events GROUP BY user_id HAVING max(event_time) >= TIMESTAMP '2024-01-15'", "rating_events"),
     "enrichment_missing": "SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT page_id FROM pages) AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "rate_upsert": _sql("SELECT user_id, item_id, rating FROM live WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM ratings) UNION ALL SELECT user_id, item_id, rating FROM ratings", "live", "ratings"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -14,7 +15,7 @@ from ..functions.numeric import dot as product
 from ..functions.numeric import num_factors
 from ..operators import agreement, block_matrix, linalg, models, prep, search, serving, similar, top_items
 from ..session import new_folder, saved
-from ..sources import readers, testdata
+from ..sources import readers, store, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,6 +664,42 @@ def rotation(spark, sf_dir):
     return serving.rotation(similar_topn(spark, sf_dir), 1).select("item_id", "rank", "similar_id")
 
 
+def _batches(events: DataFrame, n: int = 3) -> list[DataFrame]:
+    """The events cut into n spans of time, in order."""
+    at = F.unix_micros(F.col("event_time").cast("timestamp"))
+    edges = events.select(F.percentile_approx(at, [k / n for k in range(1, n)]).alias("e")).first()["e"] or []
+    return [events.where(at.between(a, b)) for a, b in zip([-(1 << 62), *(e + 1 for e in edges)], [*edges, 1 << 62])]
+
+
+@query
+def store_live_ratings(spark, sf_dir):
+    """Live ratings, kept by batches of events that put and delete them, with one compaction between."""
+    kept = store.Store.create(spark, new_folder(spark, "store"), "user_id bigint, item_id bigint, rating double, event_time timestamp", ("user_id", "item_id"), buckets=16)
+    for number, events in enumerate(_batches(testdata.rating_events(spark, sf_dir))):
+        last = saved(events.groupBy("user_id", "item_id").agg(F.max_by(F.struct("rating", "event_time"), F.struct("event_time", "event_id")).alias("e")).select("user_id", "item_id", "e.rating", F.col("e.event_time").cast("timestamp").alias("event_time")))
+        kept.put(last.where("rating is not null"))
+        kept.delete(last.where("rating is null"))
+        if number == 1:
+            kept.compact()
+    return kept.read().select("user_id", "item_id", "rating")
+
+
+@query
+def recommendations_refreshed(spark, sf_dir):
+    """When each user's recommendations were computed: all on the 15th of January, and those of users with later ratings again on the 1st of March."""
+    ratings, changed = testdata.ratings(spark, sf_dir), rating_changes(spark, sf_dir).select("user_id", F.col("changed").cast("timestamp").alias("changed"))
+    often = prep.degrees(ratings, "item_id").select("item_id", F.array(F.col("n").cast("double")).alias("v"), F.lit(0.0).alias("offset"))
+
+    def popular(users: DataFrame, algorithm: str) -> DataFrame:
+        asked = users.select("user_id", F.array(F.lit(1.0)).alias("u"), F.lit(0.0).alias("b"))
+        return top_items.best_items(asked, often, ratings, 20)
+
+    kept = serving.Recommendations.create(spark, new_folder(spark, "recommendations"), popular, buckets=16)
+    for now in (datetime.datetime(2024, 1, 15), datetime.datetime(2024, 3, 1)):
+        kept.refresh(changed, ("popular",), now)
+    return kept.store.read().select("user_id", "algorithm", "computed", F.size("items").alias("n"))
+
+
 @query
 def rec_staleness(spark, sf_dir):
     changed = rating_changes(spark, sf_dir)

@@ -250,15 +250,18 @@ def test_tune_equals_brute_force(spark, seed, id2, top_n):
         similar.tune(spark.createDataFrame(rows, RATINGS), genres, 0, 77, 1)
 
 
-def test_rank_agreement_equals_all_pairs(spark):
+@pytest.mark.parametrize("block", [1_000_000, 20, 3])
+def test_rank_agreement_equals_all_pairs(spark, block):
+    """Users of more than block different counts are cut into ranges of predictions, with the same result."""
     rng = np.random.default_rng(3)
-    rows = [(u, i, float(rng.integers(1, 11)) / 2, None if rng.random() < 0.1 else float(rng.integers(0, 8))) for u in range(12) for i in range(rng.integers(0, 60))]
+    predicted = lambda u: float(rng.integers(0, 8)) if u % 2 else float(rng.normal())
+    rows = [(u, i, float(rng.integers(1, 11)) / 2, None if rng.random() < 0.1 else predicted(u)) for u in range(12) for i in range(rng.integers(0, 60))]
     want = {}
     for u, _, ra, pa in rows:
         for v, _, rb, pb in rows:
             if u == v and pa is not None and pb is not None and ra > rb:
                 want.setdefault(u, []).append(pa > pb)
-    got = agreement.rank_agreement(spark.createDataFrame(rows, "user_id long, item_id long, rating double, prediction double")).collect()
+    got = agreement.rank_agreement(spark.createDataFrame(rows, "user_id long, item_id long, rating double, prediction double"), block=block).collect()
     assert {r["user_id"]: (r["pairs"], round(r["agreement"], 9)) for r in got} == {u: (len(v), round(sum(v) / len(v), 9)) for u, v in want.items()}
 
 
@@ -304,17 +307,3 @@ def test_ratings_are_given_and_taken_back(spark):
     assert rows(serving.rate(live, 7, 1, 2, t(2))) == [(7, 1, 2.0), (8, 1, 3.0)]
     assert rows(serving.rate(live, 7, 2, 5, t(2))) == [(7, 1, 4.0), (7, 2, 5.0), (8, 1, 3.0)]
     assert rows(serving.rate(live, 7, 1, None, t(2))) == [(8, 1, 3.0)] and rows(serving.rate(live, 9, 9, None, t(2))) == rows(live)
-
-
-def test_recommendations_are_kept_and_rotate(spark, tmp_path):
-    t, calls = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s), []
-
-    def compute(user_id, algorithm):
-        calls.append((user_id, algorithm))
-        return spark.createDataFrame([(100 + i, i, 1.0 / i) for i in range(1, 11)], "item_id long, rank int, score double")
-
-    kept = serving.Recommendations(f"file://{tmp_path}/kept", compute)
-    get = lambda changed, now: sorted(r["rank"] for r in kept.get(spark, 7, "als3", changed, now).collect())
-    assert [get(t(1), t(2)) for _ in range(5)] == [[1, 5, 9], [2, 6, 10], [3, 7], [4, 8], [1, 5, 9]] and len(calls) == 1
-    assert get(t(2), t(3)) == [1, 5, 9] and len(calls) == 2  # a change at the same time makes it stale
-    assert get(None, t(4)) == [2, 6, 10] and len(calls) == 2
