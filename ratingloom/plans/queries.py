@@ -112,8 +112,9 @@ def rating_levels(spark, sf_dir):
 @query
 def item_rating_maps(spark, sf_dir):
     """Size and sum of the maps of each item's ratings by user."""
-    maps = prep.item_ratings(testdata.ratings(spark, sf_dir))
-    return maps.select("item_id", F.size("ratings").cast("bigint").alias("n"), F.aggregate(F.map_values("ratings"), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    maps = prep.item_ratings(testdata.ratings(spark, sf_dir), shares=8)
+    parts = maps.select("item_id", F.size("ratings").cast("bigint").alias("n"), F.aggregate(F.map_values("ratings"), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return parts.groupBy("item_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @query
