@@ -39,3 +39,13 @@ def erased(spark: SparkSession, folder: str) -> None:
     """Delete a folder that nothing will read again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def note(spark: SparkSession, uri: str) -> str:
+    """The text of a small file, also of one that Spark's readers pass over."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -172,8 +172,9 @@ def links_csv(spark, sf_dir):
 def kept_item_medians(spark, sf_dir):
     """A table that is computed and kept, and then found."""
     path = new_folder(spark, "kept")
-    readers.kept(spark, path, lambda: item_medians(spark, sf_dir))
-    return readers.kept(spark, path, lambda: item_medians(spark, sf_dir).limit(0))
+    inputs = tuple(f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders"))
+    readers.kept(spark, path, lambda: item_medians(spark, sf_dir), inputs=inputs)
+    return readers.kept(spark, path, lambda: item_medians(spark, sf_dir).limit(0), inputs=inputs)
 
 
 @query

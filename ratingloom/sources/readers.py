@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import note
+
 #: Fixed value: what an item without genres has in the genres column.
 NO_GENRES = "(no genres listed)"
 
@@ -62,12 +65,36 @@ def item_genres(items: DataFrame) -> DataFrame:
     return each.where((F.col("genre") != NO_GENRES) & (F.col("genre") != "")).distinct()
 
 
-def kept(spark: SparkSession, path: str, compute: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
-    """The table at path; computed and written there first if it is missing or to be replaced."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
-    if overwrite or not there:
+def _told(spark: SparkSession, inputs: tuple[str, ...], parameters: dict) -> str:
+    """The files below the inputs, with their sizes and times, and the parameters: what a kept table was made of."""
+    files = []
+    for name in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        every = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while every.hasNext():
+            f = every.next()
+            files.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return json.dumps({"files": sorted(files), "parameters": parameters}, sort_keys=True, default=str)
+
+
+def kept(spark: SparkSession, path: str, compute: Callable[[], DataFrame], overwrite: bool = False, inputs: tuple[str, ...] = (), parameters: dict | None = None) -> DataFrame:
+    """The table at path; computed and written there first if it is missing or to be replaced, or was made of other inputs.
+
+    inputs are the files or folders that compute reads, parameters what else its result depends on. Both are
+    noted beside the table, in a file that is written last: a table without it, or with another one, is made
+    anew. Without inputs and parameters the path alone tells.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    made_of, wanted = hadoop.Path(path, "_inputs.json"), _told(spark, inputs, parameters or {})
+    fresh = files.exists(hadoop.Path(path, "_SUCCESS"))
+    if fresh and (inputs or parameters):
+        fresh = files.exists(made_of) and note(spark, f"{path}/_inputs.json") == wanted
+    if overwrite or not fresh:
         compute().write.mode("overwrite").parquet(path)
+        out = files.create(made_of, True)
+        out.write(bytearray(wanted.encode()))
+        out.close()
     return spark.read.parquet(path)
 
 

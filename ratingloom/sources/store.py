@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..files import erased
+from ..files import erased, note
 
 #: Deltas of a bucket after which a batch has it written anew.
 DELTAS = 16
@@ -150,9 +150,4 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 def _manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
     found = [n for n in _names(spark, path) if n.startswith("_manifest-")]
     name = found[-1] if version is None else f"_manifest-{version:09d}.json"
-    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    return json.loads(note(spark, f"{path}/{name}"))

@@ -217,6 +217,25 @@ def test_kept_tables_are_computed_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_kept_tables_know_what_they_were_made_of(spark, tmp_path):
+    calls, source = [], f"{tmp_path}/in"
+
+    def get(**parameters):
+        def compute():
+            calls.append(parameters)
+            return spark.read.parquet(source)
+
+        return readers.kept(spark, f"{tmp_path}/t", compute, inputs=(source,), parameters=parameters).count()
+
+    spark.range(3).write.parquet(source)
+    assert [get(k=1), get(k=1)] == [3, 3] and len(calls) == 1
+    assert get(k=2) == 3 and len(calls) == 2  # another parameter
+    spark.range(2).write.mode("append").parquet(source)
+    assert [get(k=2), get(k=2)] == [5, 5] and len(calls) == 3  # another file
+    (tmp_path / "t" / "_inputs.json").unlink()
+    assert get(k=2) == 5 and len(calls) == 4  # stopped before the note was written
+
+
 def test_numbers_follow_first_appearance(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "tag string, at long")
     assert {r["tag"]: r["id"] for r in prep.numbered(df, "tag", "at").collect()} == {"b": 0, "a": 1}
