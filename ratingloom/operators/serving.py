@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from ..sources.store import Store
 from .models import ALS, TagCount, TagLS
+from .block_index import BlockIndex
 from .search import Index, search
 
 ALGORITHMS = ("tag_count", "tag_ls", "als3", "als5", "als7", "als9", "als11")
@@ -141,7 +142,7 @@ class Engine:
     centers: DataFrame
     extra: DataFrame
     similar_items: DataFrame | None = None
-    index: Index | None = None
+    index: Index | BlockIndex | None = None
     als: dict[int, ALS] = dataclasses.field(default_factory=dict)
 
     def _model(self, own: DataFrame, algorithm: str):
@@ -172,6 +173,9 @@ class Engine:
 
     def search(self, text: str, user_id: int, limit: int = 100) -> DataFrame:
         """Cards of the titles that match; an empty text matches none."""
+        if isinstance(self.index, BlockIndex):
+            asked = self.titles.sparkSession.createDataFrame([(0, text)], "query_id long, title string")
+            return cards(self.index.search(asked, limit).select("item_id", "score"), self.titles, self.extra, self.ratings.where(F.col("user_id") == user_id))
         return cards(search(self.index, text, limit), self.titles, self.extra, self.ratings.where(F.col("user_id") == user_id))
 
     def similar(self, item_id: int, user_id: int) -> DataFrame:

@@ -145,6 +145,13 @@ _SEARCHED = """SELECT item_id, round(sum(times * CASE kind WHEN 'bigram' THEN 1.
         FROM (SELECT DISTINCT term, kind, item_id FROM all_terms) JOIN term_n USING (term, kind)
         JOIN (VALUES ('inghe', 'token', 2), ('onth', 'token', 1), ('inghe onth', 'bigram', 1), ('onth inghe', 'bigram', 1)) q(term, kind, times) USING (term, kind)
         GROUP BY item_id ORDER BY sum(times * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / n) DESC, item_id DESC LIMIT 100"""
+#: Passages are cut into terms along with the texts, under negative ids. Weights are whole trillionths, whose sum is exact.
+_PASSAGES = """SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, round(s / 1e12, 6) AS score FROM (
+        SELECT query_id, item_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id DESC) AS rank FROM (
+            SELECT query_id, item_id, CAST(sum(w) AS BIGINT) AS s FROM (
+                SELECT -1 - q.item_id AS query_id, term, kind, CAST(round(count(*) * CASE kind WHEN 'bigram' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / any_value(n) * 1e12) AS BIGINT) AS w
+                FROM all_terms q JOIN (SELECT term, kind, count(*) AS n FROM all_terms WHERE item_id >= 0 GROUP BY term, kind) USING (term, kind) WHERE q.item_id < 0 GROUP BY q.item_id, term, kind)
+            JOIN (SELECT DISTINCT term, kind, item_id FROM all_terms WHERE item_id >= 0) USING (term, kind) GROUP BY query_id, item_id)) WHERE rank <= 20"""
 _LOG = "SELECT user_id, item_id, rating, event_time FROM rating_events WHERE rating IS NOT NULL"
 #: The rounds of tuning: t has the limit of each, the scores of the first item's 40 best matches decide on the next.
 _TUNED = """, best AS (SELECT item_id AS id1, similar_id AS id2 FROM top_similar WHERE rank = 2 ORDER BY n_common DESC, item_id LIMIT 1),
@@ -208,6 +215,8 @@ ORACLES = {
     "terms_with_suffix": _sql("SELECT term, n FROM term_n WHERE kind = 'token' AND ends_with(term, 'ing')", "term_n"),
     "search": _sql(_SEARCHED, "term_n"),
     "search_saved_index": _sql(_SEARCHED, "term_n"),
+    "search_blocks": _sql(_SEARCHED, "term_n"),
+    "search_passages": _sql(_PASSAGES, "all_terms").replace(f"titles AS ({_CTE['titles']})", f"titles AS ({_CTE['titles']} UNION ALL SELECT -1 - item_id, text FROM benchmark)"),
     "spmv": _sql("SELECT i, round(sum(m.v * (0.5::DOUBLE + x.item_id % 7)), 6) AS v FROM matrix m JOIN (SELECT DISTINCT item_id FROM ratings) x ON x.item_id = m.j GROUP BY i", "matrix"),
     "spmv_t": _sql("SELECT j AS i, round(sum(m.v * (0.5::DOUBLE + m.i % 7)), 6) AS v FROM matrix m GROUP BY j", "matrix"),
     "block_spmv": _sql("SELECT i, round(sum(m.v * (0.5::DOUBLE + x.item_id % 7)), 6) AS v FROM matrix m JOIN (SELECT DISTINCT item_id FROM ratings) x ON x.item_id = m.j GROUP BY i", "matrix"),

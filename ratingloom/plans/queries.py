@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numeric import dot as product
 from ..functions.numeric import num_factors
-from ..operators import agreement, block_matrix, linalg, models, prep, search, serving, similar, top_items
+from ..operators import agreement, block_index, block_matrix, linalg, models, prep, search, serving, similar, top_items
 from ..session import new_folder, saved
 from ..sources import readers, store, testdata
 
@@ -523,6 +523,24 @@ def search_saved_index(spark, sf_dir):
     return rounded(search.search(search.Index.load(spark, path, stem=False), "Inghe: onth, (Inghe)"), "score")
 
 
+def _block_index(spark: SparkSession, sf_dir: str) -> block_index.BlockIndex:
+    return block_index.BlockIndex.build(_index(spark, sf_dir), new_folder(spark, "blocks"))
+
+
+@query
+def search_blocks(spark, sf_dir):
+    """As search, over an index of which only the text's blocks are read."""
+    asked = spark.createDataFrame([(0, "Inghe: onth, (Inghe)")], "query_id long, title string")
+    return rounded(_block_index(spark, sf_dir).search(asked).select("item_id", "score"), "score")
+
+
+@query
+def search_passages(spark, sf_dir):
+    """The 20 documents that each benchmark passage finds, all passages searched at once."""
+    asked = testdata.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("title"))
+    return rounded(_block_index(spark, sf_dir).search(asked, 20), "score")
+
+
 @query
 def search_stemmed(spark, sf_dir):
     return search.search(_index(spark, sf_dir, stem=True), "Inghe: onth, (Inghe)")
