@@ -97,8 +97,12 @@ def tokens(lists: DataFrame) -> DataFrame:
     return lists.select("item_id", F.posexplode("tokens").alias("pos", "token"))
 
 
+def neighbours(terms: Column) -> Column:
+    """Each two terms of an array that follow each other, joined by a blank."""
+    n = F.greatest(F.size(terms) - 1, F.lit(0))
+    return F.zip_with(F.slice(terms, F.lit(1), n), F.slice(terms, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(lists: DataFrame) -> DataFrame:
     """(item_id, pos, bigram): neighbours among the terms of each title, joined by a blank."""
-    n = F.greatest(F.size("tokens") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("tokens", F.lit(1), n), F.slice("tokens", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return lists.select("item_id", F.posexplode(pairs).alias("pos", "bigram"))
+    return lists.select("item_id", F.posexplode(neighbours(F.col("tokens"))).alias("pos", "bigram"))

@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..files import erased
 from ..functions.text import term_lists
 from ..session import saved, written
-from .search import PAIR, Index, _all_terms
+from .search import PAIR, _all_terms
 
 #: Items of a block; blocks of a file; distinct keys of a search up to which files are looked up by the driver.
 BLOCK, FILE, LOOKUPS = 1024, 65_536, 10_000
@@ -81,17 +82,22 @@ class BlockIndex:
     stem: bool = True
 
     @classmethod
-    def build(cls, index: Index, path: str, block: int = BLOCK, per_file: int = FILE) -> BlockIndex:
-        """Write an index's postings as blocks. Null ids have no place in it; a repeated (term, item) counts once, as in the index."""
-        spark = index.postings.sparkSession
-        postings = written(index.postings.where("item_id is not null").withColumn("item_id", F.col("item_id").cast("bigint")), "postings")[0]
+    def build(cls, titles: DataFrame, path: str, stem: bool = True, block: int = BLOCK, per_file: int = FILE) -> BlockIndex:
+        """Write the terms of titles (item_id, title) as blocks.
+
+        A term that an item repeats, or that rows of one id share, counts in n each time and is one posting. Rows
+        without an id count in n alone, as in build_index().
+        """
+        spark = titles.sparkSession
+        lists = term_lists(titles.withColumn("item_id", F.col("item_id").cast("bigint")), stem)
+        postings, folder = written(_all_terms(lists).groupBy("term", "kind", "item_id").agg(F.count("*").alias("m")), "postings")
         span = F.col("hi").cast("double") - F.col("lo").cast("double") + 1
         shift = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(span * block / F.col("df"))))).cast("int")
-        counts = postings.groupBy(_TERM).agg(F.count("*").alias("df"), F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
-        terms = counts.join(index.terms, _TERM).select("term", "kind", "n", "df", shift.alias("shift"))
+        counts = postings.groupBy(_TERM).agg(F.sum("m").alias("n"), F.count("item_id").alias("df"), F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
+        terms = counts.where("df > 0").select("term", "kind", "n", "df", shift.alias("shift"))
         terms.repartitionByRange("term", "kind").sortWithinPartitions("term", "kind").write.mode("overwrite").parquet(f"{path}/terms")
         known = spark.read.parquet(f"{path}/terms")
-        placed = postings.join(known.select("term", "kind", "shift"), _TERM).select("term", "kind", F.expr("shiftright(item_id, shift)").alias("cell"), "item_id")
+        placed = postings.where("item_id is not null").join(known.select("term", "kind", "shift"), _TERM).select("term", "kind", F.expr("shiftright(item_id, shift)").alias("cell"), "item_id")
         # the item takes part in the ranges: a term that everything has is in many of them
         dealt = placed.repartitionByRange("term", "kind", "item_id").sortWithinPartitions("term", "kind", "item_id")
         blocks = dealt.mapInArrow(_cut(block), "term string, kind string, cell bigint, first bigint, last bigint, ids array<bigint>")
@@ -99,7 +105,8 @@ class BlockIndex:
         key = F.struct("term", "kind", "cell")
         files = spark.read.parquet(f"{path}/blocks").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
         files.write.mode("overwrite").parquet(f"{path}/files")
-        return cls(spark, path, index.stem)
+        erased(spark, folder)
+        return cls(spark, path, stem)
 
     @property
     def terms(self) -> DataFrame:

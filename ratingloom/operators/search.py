@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, term_lists, tokens
+from ..functions.text import neighbours, term_lists
 from ..session import saved
 
 #: A pair of terms counts so much more than a term.
@@ -32,8 +32,10 @@ class Index:
 
 
 def _all_terms(lists: DataFrame) -> DataFrame:
-    words = tokens(lists).select("item_id", F.col("token").alias("term"), F.lit("token").alias("kind"))
-    return words.unionByName(bigrams(lists).select("item_id", F.col("bigram").alias("term"), F.lit("bigram").alias("kind")))
+    """(item_id, term, kind): tokens and pairs of term_lists()'s rows, which are read once."""
+    words = F.transform("tokens", lambda w: F.struct(w.alias("term"), F.lit("token").alias("kind")))
+    pairs = F.transform(neighbours(F.col("tokens")), lambda w: F.struct(w.alias("term"), F.lit("bigram").alias("kind")))
+    return lists.select("item_id", F.explode(F.concat(words, pairs)).alias("t")).select("item_id", "t.term", "t.kind")
 
 
 def build_index(titles: DataFrame, stem: bool = True) -> Index:

@@ -524,7 +524,7 @@ def search_saved_index(spark, sf_dir):
 
 
 def _block_index(spark: SparkSession, sf_dir: str) -> block_index.BlockIndex:
-    return block_index.BlockIndex.build(_index(spark, sf_dir), new_folder(spark, "blocks"))
+    return block_index.BlockIndex.build(testdata.titles(spark, sf_dir), new_folder(spark, "blocks"), stem=False)
 
 
 @query

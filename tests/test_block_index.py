@@ -25,8 +25,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def built(spark, rows, tmp_path_factory):
-    index = search.build_index(spark.createDataFrame(rows, TITLES), stem=False)
-    return index, BlockIndex.build(index, str(tmp_path_factory.mktemp("index") / "at"), block=8, per_file=40)
+    titles = spark.createDataFrame(rows, TITLES)
+    return search.build_index(titles, stem=False), BlockIndex.build(titles, str(tmp_path_factory.mktemp("index") / "at"), stem=False, block=8, per_file=40)
 
 
 def test_blocks_hold_the_postings(built):
@@ -93,6 +93,6 @@ def test_many_keys_read_every_file(built, spark, monkeypatch):
 
 
 def test_empty_index_and_no_texts(spark, built, tmp_path):
-    none = BlockIndex.build(search.build_index(spark.createDataFrame([], TITLES), stem=False), f"{tmp_path}/none")
+    none = BlockIndex.build(spark.createDataFrame([], TITLES), f"{tmp_path}/none")
     asked = spark.createDataFrame([(1, "w1")], "query_id long, title string")
     assert none.search(asked).count() == 0 and built[1].search(asked.limit(0)).count() == 0

@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -42,6 +44,25 @@ def test_cosine_of_common_raters(spark):
     assert [(r["a"], r["b"], r["n_common"], round(r["cos"], 6)) for r in found] == [(1, 2, 3, 0.92)]
 
 
+@pytest.mark.parametrize("tile", [1, 7, 4096])
+def test_pairs_by_tiles_equal_a_plain_count(spark, tile):
+    draw = random.Random(3)
+    rows = [(u, i, float(draw.randint(1, 5))) for u, n in ((1, 60), (2, 25), (3, 8), (4, 1), (5, 40)) for i in draw.sample(range(-20, 60), n)]
+    rows += [(2, 3, 4.0), (2, 3, 4.0), (None, 3, 1.0), (None, 4, 1.0), (6, None, 2.0), (6, 5, 2.0)]
+    genres = [(i, g) for i in range(-20, 60) for g in draw.sample("abcdef", draw.randint(1, 4))]
+    sets = {i: {g for j, g in genres if j == i} for i, _ in genres}
+    for with_genres in (False, True):
+        sums = {}
+        for (u, a, ra), (v, b, rb) in itertools.product(rows, rows):
+            if None not in (u, v, a, b) and u == v and a < b and (not with_genres or 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))):
+                n, ab, aa, bb = sums.get((a, b), (0, 0, 0, 0))
+                sums[a, b] = (n + 1, ab + ra * rb, aa + ra * ra, bb + rb * rb)
+        want = {k: (n, pytest.approx(ab / (aa * bb) ** 0.5)) for k, (n, ab, aa, bb) in sums.items() if n >= 2}
+        found = similar.co_rated(spark.createDataFrame(rows, RATINGS), 2, spark.createDataFrame(genres, "item_id bigint, genre string") if with_genres else None, tile).collect()
+        assert len(found) == len(want) and {(r["a"], r["b"]): (r["n_common"], r["cos"]) for r in found} == want
+    assert similar.co_rated(spark.createDataFrame([], RATINGS), tile=tile).count() == 0
+
+
 def test_split_of_users_with_many_ratings(spark):
     rows = [(u, i, float((u * i) % 5), i) for u, n in ((1, 300), (2, 20), (3, 40), (4, 6)) for i in range(n)] + [(None, i, float(i % 5), i) for i in range(60)]
     rows += [(5, i, 3.0, i) for i in range(50)] + [(6, i, 4.0 if i == 7 else 3.0, i) for i in range(45)] + [(1, 3, 2.0, 0)] * 2
