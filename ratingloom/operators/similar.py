@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import common_boost, cosine, genre_overlap
+from ..session import saved
 
 
-#: Items of a user that are kept in one row; the square of it bounds the pairs that a row makes.
+#: Items of a user that meet each other under one key; the square of it bounds the pairs of a key.
 TILE = 4096
 
 
-def _tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """(user_id, parts, part, own): each user's rows in ``parts`` arrays of about ``tile``, by the hash of their items, in the order of ids."""
-    sizes = rows.groupBy("user_id").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    placed = rows.join(sizes, "user_id").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts").cast("bigint")).cast("int"))
-    columns = [c for c in rows.columns if c != "user_id"]
-    return placed.groupBy("user_id", "parts", "part").agg(F.sort_array(F.collect_list(F.struct("item_id", *(c for c in columns if c != "item_id")))).alias("own"))
-
-
 def _met(rows: DataFrame, tile: int) -> DataFrame:
-    """(x, y): each two rows of a user with different items, once, the smaller id as x.
+    """(a, b, ra, rb, and ga, gb if rows have g): each two rows of a user with different items, once, a < b.
 
-    A tile meets itself and the tiles after it: every meeting is a row with at most tile * tile pairs, and a user of
-    any number of items is spread over as many rows as it has meetings.
+    Users of up to ``tile`` items meet by a plain join. The items of others, who are looked for first, are dealt by
+    hash into tiles of about that size; a tile meets itself and the later ones, each meeting under a key of its
+    own, so that a user of very many items becomes many keys of bounded work.
     """
-    tiles = _tiles(rows, tile)
-    inside = tiles.select("own", F.posexplode("own").alias("p", "x")).select("x", F.explode(F.slice("own", F.col("p") + 2, F.size("own"))).alias("y"))
-    several = tiles.where("parts > 1")
-    first = several.where(F.col("part") < F.col("parts") - 1).select("user_id", F.col("part").alias("i"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("j"), F.col("own").alias("xs"))
-    second = several.where("part > 0").select("user_id", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("i"), F.col("part").alias("j"), F.col("own").alias("ys"))
-    across = first.join(second, ["user_id", "i", "j"]).select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
-    ordered = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return inside.unionByName(ordered).where("x.item_id < y.item_id")
+    values = [c for c in rows.columns if c not in ("user_id", "item_id")]
+    short = {"rating": "r"}
+
+    def side(of: DataFrame, s: str, *keys: Column) -> DataFrame:
+        return of.select("user_id", *keys, F.col("item_id").alias(s), *(F.col(c).alias(short.get(c, c) + s) for c in values))
+
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    hot = saved(sizes.select("user_id", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return side(rows, "a").join(side(rows, "b"), "user_id").where("a < b").drop("user_id")
+    others = rows.join(hot, "user_id", "left_anti")
+    part = F.pmod(F.xxhash64("item_id"), F.col("parts").cast("bigint")).cast("int")
+    dealt = rows.join(hot, "user_id").withColumn("part", part)
+    first = side(dealt, "a", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    second = side(dealt, "b", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    met = first.join(second, ["user_id", "i", "j"]).where("i < j or a < b")
+    names = ["", *(short.get(c, c) for c in values)]
+    turned = [F.when(F.col("a") < F.col("b"), F.col(n + s)).otherwise(F.col(n + t)).alias(n + s) for n in names for s, t in ("ab", "ba")]
+    plain = side(others, "a").join(side(others, "b"), "user_id").where("a < b").drop("user_id")
+    return plain.unionByName(met.select(*turned))
 
 
 def co_rated(ratings: DataFrame, min_common: int = 3, item_genres: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """(a, b, n_common, cos), a < b: items with at least min_common raters in common and the cosine of those ratings.
 
     With item_genres (item_id, genre), only items that share half of the smaller set of genres meet, and
-    the test is made before pairs are counted. A user's items are cut into tiles of about ``tile``, which meet
-    each other once; pairs are summed up before they are shuffled. Rows with null users or items meet none.
+    the test is made before pairs are counted. The items of a user of more than ``tile`` are cut into tiles, which
+    meet each other once; pairs are summed up before they are shuffled. Rows with null users or items meet none.
     """
     rows = ratings.select("user_id", "item_id", "rating").where("user_id is not null and item_id is not null")
     if item_genres is not None:
@@ -49,8 +55,7 @@ def co_rated(ratings: DataFrame, min_common: int = 3, item_genres: DataFrame | N
         rows = rows.join(sets, "item_id")
     pairs = _met(rows, tile)
     if item_genres is not None:
-        pairs = pairs.where(genre_overlap(F.col("x.g"), F.col("y.g")))
-    pairs = pairs.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.col("x.rating").alias("ra"), F.col("y.rating").alias("rb"))
+        pairs = pairs.where(genre_overlap(F.col("ga"), F.col("gb")))
     sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum(F.col("ra") * F.col("rb")).alias("ab"), F.sum(F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("rb") * F.col("rb")).alias("bb"))
     return sums.where(F.col("n_common") >= min_common).select("a", "b", "n_common", cosine(F.col("ab"), F.col("aa"), F.col("bb")).alias("cos"))
 
