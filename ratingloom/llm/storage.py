@@ -20,6 +20,9 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting that bounds an Arrow batch on its way to a worker.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one is set where none is configured and the master is local, elsewhere that is an error."""
@@ -39,6 +42,15 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches to Python workers hold ``most`` bytes from now on, unless one row has more; a limit that the session already sets stays.
+
+    Spark's own limit is 64 MB: the JVM builds such a batch outside its heap, in buffers that double, and the worker reads it whole.
+    """
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, str(most))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df computed once and kept on shared storage (its lineage ends there)."""
     shared_dir(df.sparkSession)
