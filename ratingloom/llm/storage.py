@@ -51,6 +51,11 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(ARROW_BYTES, str(most))
 
 
+def settled(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what earlier jobs have left; Spark's cleaner drops their broadcasts and shuffles only then. For between the steps of a long job."""
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df computed once and kept on shared storage (its lineage ends there)."""
     shared_dir(df.sparkSession)
@@ -118,6 +123,14 @@ def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     return size
 
 
+def released() -> None:
+    """Give what Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, rows: int = 2048, most: int = 32 << 20):
     """Record batches of at most ``rows`` rows and, unless one row has more, ``most`` bytes of text: what is made from a batch of texts is several times its size.
 
@@ -126,10 +139,7 @@ def slices(batches, rows: int = 2048, most: int = 32 << 20):
     for batch in batches:
         for i, j in cuts(_row_bytes(batch), rows, most):
             yield batch.slice(i, j - i)
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    released()
 
 
 def put(uri: str, chunks) -> int:
