@@ -4,8 +4,8 @@ Everything is a column expression over the row's own text; nothing is shuffled.
 is certain. Generous generators propose further, overlapping spans; each gets features of its format
 and its surroundings, a score from gradient-boosted trees, and is taken at its kind's threshold, if no
 base span and no better candidate overlaps it. The trees are learnt from made-up sentences whose personal
-data are known, in many spellings and next to look-alikes (see examples), and from candidates in a bounded
-sample of documents that base spans confirm or contradict; they are then written out as one CASE
+data are known, in many spellings and next to look-alikes (see examples), and from the candidates of all
+documents that base spans confirm or contradict; they are then written out as one CASE
 expression for each tree. A model can be kept as JSON and used again.
 
 Patterns are written so that they run in linear time and without recursion on any text: quantified
@@ -15,7 +15,9 @@ groups are possessive, and runs are entered at their start or where the match be
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
+import math
 import random
 from collections.abc import Callable
 from functools import reduce
@@ -42,6 +44,8 @@ GENERATORS = (
     r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
 )
 FEATURES = ("kind", "size", "digits", "groups", "longest", "shortest", "plus", "paren", "dots", "dashes", "blanks", "at", "letters", "luhn", "octets", "glued_before", "glued_after", "hint", "secret", "zero", "date", "first", "commas", "spelt")
+#: Distinct rows of features that a task learns from.
+ROWS_A_TASK = 50_000
 _CANDIDATE = "array<struct<start:int,kind:int,end:int,s:string,before:string,after:string>>"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -275,45 +279,61 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, list[tuple[int, s
 _NAMED = "array<struct<kind:int,s:string>>"
 
 
-def fit(docs: DataFrame, made: int = 4000, sample_docs: int = 5000, trees: int = 12, depth: int = 4, precision: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trees and thresholds from ``made`` examples and about ``sample_docs`` documents, picked by hash.
+def _named(docs: DataFrame, made: int, text_col: str) -> DataFrame:
+    """(made, half, label, *FEATURES, n): how many candidates of all documents (made 0) and of the examples (made 1) have these features, half and label."""
+    empty = F.array().cast(_CANDIDATE)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("text", base_spans(F.col("text")).alias("base"))
+    sure = texts.select("base", F.explode(F.when(F.size("base") > 0, candidates(F.col("text"))).otherwise(empty)).alias("c"))
+    same = lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind"))
+    seen = sure.select(F.exists("base", same).alias("right"), F.exists("base", lambda b: _overlaps(b, F.col("c"))).alias("known"), "c").where("known").select("right", "c")
+    told = docs.sparkSession.createDataFrame(examples(made), f"text string, data {_NAMED}").select("data", F.explode(candidates(F.col("text"))).alias("c"))
+    taught = told.select(F.array_contains("data", F.struct(F.col("c.kind").alias("kind"), F.col("c.s").alias("s"))).alias("right"), "c")
+    named = seen.withColumn("made", F.lit(0)).unionByName(taught.withColumn("made", F.lit(1)))
+    half = F.pmod(F.xxhash64("c.s", "c.before", "c.start"), F.lit(2)).alias("half")
+    rows = named.select("made", half, F.col("right").cast("double").alias("label"), features(F.col("c")).alias("f"))
+    rows = rows.select("made", "half", "label", *(F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, made: int = 4000, trees: int = 12, depth: int = 4, precision: float = 0.97, text_col: str = "text") -> Model:
+    """Trees and thresholds from ``made`` examples and all documents.
 
     In an example a candidate is right if it is one of the known data, and wrong otherwise. In a document
     a candidate is right if it equals a base span of its kind, and wrong if it only overlaps base spans; of
-    others nothing is known, and they teach nothing. Half of the candidates fit the trees; on the other
-    half, a kind's threshold is the least score from which on ``precision`` of them are right. The driver
+    others nothing is known, and they teach nothing. All candidates count; those of one kind in documents weigh
+    as much as those in examples together, where there are more of them. Half of the candidates fit the trees; on
+    the other half, a kind's threshold is the least score from which on ``precision`` of them are right. The driver
     gets trees, and of each kind how many candidates have which score, to four digits.
     """
-    spark, n = docs.sparkSession, docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    picked = docs.where(F.pmod(row, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sure = picked.select("text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0).select("base", F.explode(candidates(F.col("text"))).alias("c"))
-    same = lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind"))
-    seen = sure.select(F.exists("base", same).alias("right"), F.exists("base", lambda b: _overlaps(b, F.col("c"))).alias("known"), "c").where("known").select("right", "c")
-    told = spark.createDataFrame(examples(made), f"text string, data {_NAMED}").select("data", F.explode(candidates(F.col("text"))).alias("c"))
-    taught = told.select(F.array_contains("data", F.struct(F.col("c.kind").alias("kind"), F.col("c.s").alias("s"))).alias("right"), "c")
-    named = seen.unionByName(taught).select(F.col("right").cast("double").alias("label"), features(F.col("c")).alias("f"), F.pmod(F.xxhash64("c.s", "c.before", "c.start"), F.lit(2)).alias("half"))
-    rows = named.select("label", "half", *(F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES))).persist()
+    rows = _named(docs, made, text_col).persist()
     try:
         if rows.select("half", "label").distinct().count() < 4:
             return Model()
-        table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("half = 0")).coalesce(2)
-        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label", featuresCol="features").fit(table)
+        held = {(int(r["kind"]), r["made"]): r["n"] for r in rows.groupBy("kind", "made").agg(F.sum("n").alias("n")).collect()}
+        shares = [min(1.0, held[k, 1] / held[k, 0]) if (k, 0) in held and (k, 1) in held else 1.0 for k in range(len(KINDS))]
+        weight = F.col("n") * F.when(F.col("made") == 1, 1.0).otherwise(F.get(F.array(*map(F.lit, shares)), F.col("kind").cast("int")))
+        own = rows.where("half = 0")
+        n = own.count()
+        table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own.withColumn("weight", weight)).coalesce(max(2, n // ROWS_A_TASK))
+        # Spark reads the values that trees may split at from so many rows as the square of maxBins: here, from all.
+        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=max(32, math.isqrt(n) + 1), stepSize=0.3, seed=7, labelCol="label", featuresCol="features", weightCol="weight").fit(table)
         java = list(gbt._java_obj.trees())
         model = Model(tuple(_read_tree(t.rootNode()) for t in java), tuple(float(w) for w in gbt.treeWeights))
-        scored = rows.where("half = 1").select("kind", "label", F.floor(probability(model, F.array(*FEATURES)) * 10_000).alias("p"))
-        counts = scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()
-        return dataclasses.replace(model, thresholds=tuple(_threshold([(r["p"], r["n"], r["right"]) for r in counts if r["kind"] == k], precision) for k in range(len(KINDS))))
+        scored = rows.where("half = 1").select("kind", "made", "label", "n", F.floor(probability(model, F.array(*FEATURES)) * 10_000).alias("p"))
+        counts = scored.groupBy("kind", "made", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).collect()
+        heavy = lambda r, k: 1.0 if r["made"] else shares[k]
+        scores = [[(r["p"], heavy(r, k) * r["n"], heavy(r, k) * r["right"]) for r in counts if r["kind"] == k] for k in range(len(KINDS))]
+        return dataclasses.replace(model, thresholds=tuple(_threshold(s, precision) for s in scores))
     finally:
         rows.unpersist()
 
 
-def _threshold(scores: list[tuple[int, int, float]], precision: float) -> float:
+def _threshold(scores: list[tuple[int, float, float]], precision: float) -> float:
     """The least score, of 0.5 at least, from which on the share of right candidates is ``precision``; above all scores if there is none."""
     least, n, right = 2.0, 0, 0.0
-    for p, number, good in sorted(scores, reverse=True):
-        n, right = n + number, right + good
+    for p, own in itertools.groupby(sorted(scores, reverse=True), lambda s: s[0]):
+        for _, number, good in own:
+            n, right = n + number, right + good
         if right >= precision * n:
             least = p / 10_000
     return max(0.5, least)

@@ -99,6 +99,17 @@ def test_added_spans_are_found_and_right(spark, sf_dir):
     assert min(wanted) > 50 and all(h >= 0.9 * w for h, w in zip(hit, wanted)) and all(r >= 0.9 * a for r, a in zip(right, added))
 
 
+def test_every_document_is_learnt_from(spark):
+    """Of 12,000 documents with a candidate each, all count, whatever their ids."""
+    texts = spark.range(12_000).selectExpr("id as doc_id", "concat('mail joe', id, '@example.org or so') as text")
+    rows = pii._named(texts, 400, "text")
+    assert rows.where("made = 0 and kind = 0").agg(F.sum("n"), F.sum("label")).first()[0] == 12_000
+    # a look-alike in 600 documents of 12,600 keeps its weight in the thresholds, which a sample of 5000 would change with the ids
+    more = texts.unionByName(spark.range(600).selectExpr("-id as doc_id", "concat('x', id, ' 4111 1111 1111 1111 ', id) as text"))
+    models = [pii.fit(more.withColumn("doc_id", F.col("doc_id") + shift), made=400, trees=2) for shift in (0, 7_000_000)]
+    assert models[0].thresholds == models[1].thresholds and models[0].trees
+
+
 def test_models_are_kept_as_json():
     model = pii.Model(((3, 1.0, (0, 0.5, 0.1, -0.2), -0.5), 0.25), (1.0, 0.3), (0.5, 0.6, 0.7, 2.0))
     assert pii.Model.from_json(model.to_json()) == model
