@@ -1,4 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix-filtered join.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash signatures and a prefix-filtered join.
+
+Each set of shingles has a fingerprint, and the deletion-variant signatures of ``simhash`` find those that differ in
+few bits. What they find is verified by whole sets like all else. Similar sets may differ in more bits, and those are
+found by the join.
 
 A text is the set of the 64-bit hashes of its shingles. Of two sets with the similarity asked for, the
 first shingles in any common order share one: as many as may be missing, and one more. Those are
@@ -7,7 +11,7 @@ the frequent shingles of a sample; it decides how much is compared, never what i
 
 Equal sets are folded before any join. Similar sets have similar sizes, so a key's sets are grouped by bands
 of sizes, each with the band below. A group of more than ``dense`` sets is not paired off in rows: each of its
-sets is first compared with two of them, of the least and the greatest hash. That connects what is copied very
+sets is first compared with two of them, of the least and the greatest hash. With the signatures' links that connects what is copied very
 often, over all the keys that the copies share. Only a group whose sets are then still in several components is
 compared whole: its sets are dealt into blocks, every pair of blocks is compared in a task, and only the links
 that connect components come back. No link between components is lost; the work of such a group grows with the
@@ -73,7 +77,7 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, h, fp, n, keys): each row's text's hash, and its set's hash, size and indexed shingles."""
+    """(doc_id, h, fp, mark, n, keys): each row's text's hash, and its set's hash, fingerprint, size and indexed shingles."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     known, counts = _frequent(texts, width)
     top, bottom = similarity
@@ -90,10 +94,28 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _hashes(sets), pa.array([len(s) for s in sets], pa.int64()), _lists([first(s) for s in sets])], ["doc_id", "h", "fp", "n", "keys"])
+            marks = pa.array(np.array([simhash._majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64))
+            cols = [batch.column(0), batch.column(1), _hashes(sets), marks, pa.array([len(s) for s in sets], pa.int64()), _lists([first(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "fp", "mark", "n", "keys"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, keys array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, mark bigint, n bigint, keys array<bigint>")
+
+
+def signature_pairs(sets: DataFrame, similarity: tuple[int, int], distance: int = 2) -> DataFrame:
+    """(a, b), a < b: fps of distinct sets whose fingerprints (mark) are linked by signatures, and whose sizes allow the similarity.
+
+    They are to be verified. Of sets of one fingerprint each meets that of the least fp, which also meets other fingerprints'.
+    """
+    top, bottom = similarity
+    own = sets.select("mark", "fp", "n").dropDuplicates(["fp"])
+    heads = saved(own.groupBy("mark").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("k")))
+    alike = own.join(heads.where("k > 1"), "mark").select(F.col("head").alias("x"), F.struct("fp", "n").alias("y"))
+    links = simhash.fingerprint_links(heads.select(F.col("mark").alias("fp")), distance)
+    side = lambda c, as_: heads.select(F.col("mark").alias(c), F.col("head").alias(as_))
+    met = alike.unionByName(links.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y"))
+    sized = (F.least("x.n", "y.n") * bottom >= F.greatest("x.n", "y.n") * top) & (F.col("x.fp") != F.col("y.fp"))
+    return met.where(sized).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
 
 
 def _bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -174,6 +196,8 @@ def set_links(docs: DataFrame, sets: DataFrame, text_col: str = "text", width: i
     for used in (index, several, held):
         dropped(used)
     settled(docs.sparkSession)
+    signed = stored(signature_pairs(sets, similarity), "signed")
+    settled(docs.sparkSession)
     crowds = F.count(F.when(F.col("m") > dense, 1)).over(Window.partitionBy("fp"))
     sparse = met.withColumn("d", crowds).where(F.col("m") <= dense)
     side = lambda x: sparse.select("key", "band", F.col("fp").alias(x), *(F.col(c).alias(c + x) for c in ("n", "at", "d", "own")))
@@ -187,12 +211,12 @@ def set_links(docs: DataFrame, sets: DataFrame, text_col: str = "text", width: i
     crowded = met.where((F.col("m") > dense) & F.col("early")).select("key", "band", "fp", "n", "m", "size")
     ends = crowded.groupBy("key", "band").agg(F.array(F.min(F.struct("fp", "n")), F.max(F.struct("fp", "n"))).alias("ends"))
     stars = crowded.join(ends, ["key", "band"]).select("fp", "n", F.explode("ends").alias("e")).where((F.col("fp") != F.col("e.fp")) & near(F.col("n"), F.col("e.n")))
-    pairs = stored(met_once.unionByName(stars.select(F.least("fp", "e.fp").alias("a"), F.greatest("fp", "e.fp").alias("b"))).distinct(), "pairs")
+    pairs = stored(met_once.unionByName(stars.select(F.least("fp", "e.fp").alias("a"), F.greatest("fp", "e.fp").alias("b"))).unionByName(signed).distinct(), "pairs")
     bodies = _bodies(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), text_col, width)
     body = lambda x: bodies.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     close = saved(pairs.join(body("a"), "a").join(body("b"), "b").where(common * bottom >= (F.size("sa") + F.size("sb") - common) * top).select("a", "b"))
-    for used in (pairs, bodies):
+    for used in (pairs, bodies, signed):
         dropped(used)
     settled(docs.sparkSession)
     roots = simhash.components(close)
