@@ -28,6 +28,8 @@ PRE_TOKENIZER = {
 }
 #: Words for which NFC changes nothing and lower-casing goes letter by letter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
+#: Marks that end a word as a piece of their own.
+MARKS = frozenset(".,;:!?")
 #: Entries that a worker process keeps at most in either of its caches.
 KEPT = 250_000
 
@@ -72,6 +74,8 @@ class WordEncoder:
         self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
+        #: The bytes of each id.
+        self.coded = {i: i.to_bytes(self.dtype.itemsize, "little") for i in self.whole.get_vocab().values()}
         with open(path, encoding="utf-8") as f:
             self.by_words = _cuts_at_words(json.load(f))
         self.words: dict[str, bytes] = {}
@@ -81,14 +85,17 @@ class WordEncoder:
         found = self.pieces.get(piece)
         if found is None:
             spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+            found = b"".join([self.coded[t.id] for t in self.model.tokenize(spelt)])
             if len(self.pieces) >= KEPT:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and "<|" not in word and len(word) < 1000:
+        if len(word) < 1000 and (word.isascii() or PLAIN.fullmatch(word)) and (word.isalpha() or (word[-1:] in MARKS and word[:-1].isalpha())):
+            # Letters are one piece, and a mark after them is another.
+            ids = self._piece(word.lower()) if word.isalpha() else self._piece(word[:-1].lower()) + self._piece(word[-1])
+        elif PLAIN.fullmatch(word) and "<|" not in word and len(word) < 1000:
             ids = b"".join([self._piece(p) for p in PIECES.findall(word.lower())])
         else:
             ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -107,7 +114,7 @@ class WordEncoder:
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
         known, distinct = self.words, coded.dictionary.to_pylist()
-        spelt = [known[w] if w in known else self._word(w) for w in distinct]
+        spelt = [found if (found := known.get(w)) is not None else self._word(w) for w in distinct]
         index = np.asarray(coded.indices)
         size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // self.dtype.itemsize
         at = np.concatenate([[0], np.cumsum(size[index])])

@@ -110,3 +110,21 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert token_files.read(spark, token_files.write(nothing(spark), PATH)).count() == 0
+
+
+def test_words_of_letters_are_not_cut(monkeypatch):
+    """Letters, with or without a mark after them, are looked up without the vocabulary's regular expression, with the library's ids."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from ratingloom.llm import word_tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["The END. of; straße, Größe? ŉa ſo! ĲSSEL: x", "École ÉTÉ, naïve", "a . ;", "it's 3rd (and) a.b x,y \x7fz don't, İstanbul. ﬁne,日本語. e\u0301a, <|x|>."]
+    library, encoder = Tokenizer.from_file(path), word_tokens.WordEncoder(path)
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = word_tokens.WordEncoder(path)
+    monkeypatch.setattr(word_tokens, "PIECES", None)
+    assert encoder.encode(pa.array(texts[:2]))[0].tolist() == ids[: bounds[2]].tolist()
