@@ -24,6 +24,8 @@ from .storage import new_folder, open_fs, put, saved
 FILE_ROWS, BLOCK_ROWS, SCAN_ROWS, TASK_FILES = 1 << 15, 1024, 4096, 16
 #: Candidates of a block that are held before exact vectors are read; queries that a task takes of a block, at least; ids of one vector in a row.
 HELD, LEAST_QUERIES, ROW_IDS = 1 << 21, 64, 4096
+#: Candidates of a query that a round reads at most.
+ROUND = 1024
 CELLS = 16
 _EXACT = float(1 << 53)
 
@@ -224,9 +226,13 @@ def _search_file(file: ApproximationFile, queries: np.ndarray, best: _Best, batc
 
 
 def _read_best_first(file: ApproximationFile, queries: np.ndarray, best: _Best, q: np.ndarray, row: np.ndarray, most: np.ndarray, batch: int) -> None:
-    """Read exact vectors of candidates (query, row, upper bound) in the order of their bounds, until each query's k-th score is certain."""
+    """Read exact vectors of candidates (query, row, upper bound) in the order of their bounds, until each query's k-th score is certain.
+
+    Each round takes twice as many of a query as the one before: few rounds, and at most about twice what is needed.
+    """
     n = len(queries)
-    order = np.lexsort((row, -most, q))
+    # stable: of a query's equal bounds, rows come as they were scanned
+    order = np.lexsort((-most, q))
     q, row, most = q[order], row[order], most[order]
     at, ends = np.searchsorted(q, np.arange(n)), np.searchsorted(q, np.arange(n), side="right")
     offsets, ids = file.ids()
@@ -241,6 +247,7 @@ def _read_best_first(file: ApproximationFile, queries: np.ndarray, best: _Best,
             keep = scores >= best.threshold(i)
             best.offer(i, scores[keep], [ids[offsets[r] : offsets[r + 1]] for r in rows[keep]])
             at[i] = take[-1] + 1
+        batch = min(2 * batch, ROUND)
         # the k-th score is certain once no unread vector can reach it; equal ones may have smaller ids
         active = np.array([i for i in active if at[i] < ends[i] and most[at[i]] >= best.threshold(i)], int)
 

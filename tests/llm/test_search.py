@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,19 @@ def test_bounds_hold(dim):
     least, most = va_file._bounds(queries, marks[np.arange(dim), cells], marks[np.arange(dim), cells + 1])
     scores = queries @ exact.T
     assert (least <= scores).all() and (scores <= most).all()
+
+
+def test_rounds_grow(monkeypatch, tmp_path):
+    """Candidates that no bound separates are read in few rounds, with the scores of brute force."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-40, 40, (2000, 2))
+    uri = str(tmp_path / "one.va")
+    va_file.put(uri, va_file.encode_file(2, pa.array(list(vectors)), pa.array([[i] for i in range(2000)], pa.list_(pa.int64()))))
+    file, reads, real = va_file.ApproximationFile(uri), [], va_file.ApproximationFile.exact
+    monkeypatch.setattr(va_file.ApproximationFile, "exact", lambda self, rows: reads.append(len(rows)) or real(self, rows))
+    queries, best = np.array([[0, 0], [3, -7]]), va_file._Best(2, 5)
+    va_file._search_file(file, queries, best)
+    for i, q in enumerate(queries):
+        order = np.lexsort((np.arange(2000), -(vectors @ q)))[:5]
+        assert best.scores[i].tolist() == (vectors @ q)[order].tolist() and [int(w[0]) for w in best.owners[i]] == order.tolist()
+    assert len(reads) <= 8
