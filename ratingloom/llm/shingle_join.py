@@ -111,7 +111,8 @@ def signature_pairs(sets: DataFrame, similarity: tuple[int, int], distance: int
     own = sets.select("mark", "fp", "n").dropDuplicates(["fp"])
     heads = saved(own.groupBy("mark").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("k")))
     alike = own.join(heads.where("k > 1"), "mark").select(F.col("head").alias("x"), F.struct("fp", "n").alias("y"))
-    links = simhash.fingerprint_links(heads.select(F.col("mark").alias("fp")), distance)
+    links = saved(simhash.fingerprint_links(heads.select(F.col("mark").alias("fp")), distance))
+    settled(sets.sparkSession)
     side = lambda c, as_: heads.select(F.col("mark").alias(c), F.col("head").alias(as_))
     met = alike.unionByName(links.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y"))
     sized = (F.least("x.n", "y.n") * bottom >= F.greatest("x.n", "y.n") * top) & (F.col("x.fp") != F.col("y.fp"))
@@ -207,27 +208,35 @@ def set_links(docs: DataFrame, sets: DataFrame, text_col: str = "text", width: i
     # Both sets share what meets in their keys, what may meet in dense ones, and what follows the last that meets, at most.
     most = F.col("met") + F.least("da", "db") + F.least(F.col("na") - F.col("ata") - 1, F.col("nb") - F.col("atb") - 1)
     shared = shared.agg(F.count("*").alias("met"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
-    met_once = shared.where(most * (top + bottom) >= (F.col("na") + F.col("nb")) * top).select("a", "b")
+    met_once = stored(shared.where(most * (top + bottom) >= (F.col("na") + F.col("nb")) * top).select("a", "b"), "once")
+    settled(docs.sparkSession)
     crowded = met.where((F.col("m") > dense) & F.col("early")).select("key", "band", "fp", "n", "m", "size")
     ends = crowded.groupBy("key", "band").agg(F.array(F.min(F.struct("fp", "n")), F.max(F.struct("fp", "n"))).alias("ends"))
     stars = crowded.join(ends, ["key", "band"]).select("fp", "n", F.explode("ends").alias("e")).where((F.col("fp") != F.col("e.fp")) & near(F.col("n"), F.col("e.n")))
     pairs = stored(met_once.unionByName(stars.select(F.least("fp", "e.fp").alias("a"), F.greatest("fp", "e.fp").alias("b"))).unionByName(signed).distinct(), "pairs")
+    for used in (met_once, signed):
+        dropped(used)
+    settled(docs.sparkSession)
     bodies = _bodies(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), text_col, width)
+    settled(docs.sparkSession)
     body = lambda x: bodies.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     close = saved(pairs.join(body("a"), "a").join(body("b"), "b").where(common * bottom >= (F.size("sa") + F.size("sb") - common) * top).select("a", "b"))
-    for used in (pairs, bodies, signed):
+    for used in (pairs, bodies):
         dropped(used)
     settled(docs.sparkSession)
-    roots = simhash.components(close)
+    roots = saved(simhash.components(close))
     settled(docs.sparkSession)
     placed = crowded.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    apart = placed.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "band")
+    apart = saved(placed.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "band"))
+    settled(docs.sparkSession)
     open_ = stored(placed.join(apart, ["key", "band"], "left_semi"), "open")
     dropped(met)
+    settled(docs.sparkSession)
     if open_.isEmpty():
         return close
     bodies = _bodies(docs, sets, open_.select("fp").distinct(), text_col, width)
+    settled(docs.sparkSession)
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
     dealt = open_.select("key", "band", "fp", "root", F.pmod(F.xxhash64("fp"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
     dealt = dealt.select("key", "band", "fp", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -238,6 +247,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text_col: str = "text", width: i
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5), dense: int = 32) -> DataFrame:
     """(doc_id, fp, component_id): as simhash.near_duplicates, linked where the shingle sets' Jaccard similarity is at least top / bottom."""
     sets = stored(_sets(docs, id_col, text_col, width, similarity), "shingles")
+    settled(docs.sparkSession)
     return simhash.named(sets.select("doc_id", "fp"), lambda classes: set_links(docs, sets, text_col, width, similarity, dense))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved, slices
+from .storage import saved, settled, slices
 
 BITS = 64
 SEED = 42
@@ -117,15 +117,15 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, dense: int = 256) -> Da
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach from each node that has a link.
 
-    Alternating large-star and small-star rounds until nothing changes, which they always reach; each
-    round's links are kept on shared storage.
+    Alternating large-star and small-star rounds until nothing changes, which they always reach; both
+    halves of a round are kept on shared storage, so that the driver never plans a whole round at once.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
         edges = saved(small.where("u <> v").distinct())
@@ -134,6 +134,7 @@ def components(links: DataFrame) -> DataFrame:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         before = now
+        settled(links.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, dense: int = 256) -> DataFrame:
@@ -150,7 +151,8 @@ def named(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = saved(components(links(classes)))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+    names = saved(rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id"))
+    settled(fps.sparkSession)
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
