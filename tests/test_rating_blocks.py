@@ -91,3 +91,30 @@ def test_als_over_blocks_and_a_given_core(spark):
     a, b = factors(one.items, "item_id", "v"), factors(many.items, "item_id", "v")
     assert one.rounds == many.rounds and a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-6) for i in a)
     assert models.ALS.fit(df, 40).items.count() == 0
+
+
+def test_factors_are_shipped_by_the_batch(spark):
+    """What goes to a block from a batch is one row, however many factors it holds."""
+    df = spark.createDataFrame([(i, [float(i), -float(i)], [b for b in range(4) if (i + b) % 3]) for i in range(500)], "id long, f array<double>, to array<long>").repartition(2)
+    rows = df.mapInArrow(rating_blocks._packed, "block bigint, ids binary, f binary").collect()
+    assert len(rows) <= 2 * 4
+    for block in range(4):
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows if r["block"] == block])
+        f = np.concatenate([np.frombuffer(r["f"], float).reshape(-1, 2) for r in rows if r["block"] == block])
+        assert sorted(ids) == [i for i in range(500) if (i + block) % 3] and (f == np.stack([ids, -ids], axis=1)).all()
+
+
+def test_systems_solved_by_inverse_equal_those_by_eigenvalues(monkeypatch):
+    from ratingloom.operators import least_squares as ls
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 6, 4)) * rng.choice([1e-3, 1.0, 1e3], size=(40, 1, 4))
+    x[::4, :, 1] = x[::4, :, 0] + 1e-9 * x[::4, :, 1]  # some all but lack a rank
+    x[1::5, :, 2] = 0.0
+    y = rng.normal(size=(40, 6))
+    gram, right = np.einsum("kni,knj->kij", x, x), np.einsum("kni,kn->ki", x, y)
+    got = ls.solve(gram, right)
+    monkeypatch.setattr(ls, "SOUND", 0.0)
+    want = ls.solve(gram, right)
+    assert np.allclose(got, want, rtol=1e-6, atol=0) and (got[1::5, 2] == 0).all()
+    assert not (got[2::4] == want[2::4]).all()  # the others took the other way
