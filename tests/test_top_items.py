@@ -63,3 +63,23 @@ def test_recommendations_for_all_equal_the_models_predictions(spark, sf_dir):
     got = sorted(map(tuple, QUERIES["recommend_all_als3"](spark, sf_dir).collect()))
     assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-6)
     assert sum(a[2] == b[2] for a, b in zip(got, want)) > 0.999 * len(want)  # rounding may swap equal ones
+
+
+def test_large_items_that_point_elsewhere_are_not_read(spark, monkeypatch):
+    """A norm doesn't tell where an item points: what is large the other way, or has a large offset only, is passed over."""
+    folders = []
+    plain = top_items.new_folder
+    monkeypatch.setattr(top_items, "new_folder", lambda s, kind: folders.append(plain(s, kind)) or folders[-1])
+    near = [(i, [5.0 + i % 8, 0.0], 0.0) for i in range(64)]
+    away = [(100 + i, [-50.0 - i % 8, 0.0], 2.0) for i in range(64)] + [(200 + i, [0.0, 70.0 + i % 8], 0.0) for i in range(64)]
+    users = spark.createDataFrame([(u, [1.0 + u, 0.0], 0.5) for u in range(3)], USERS)
+    found = top_items.best_items(users, spark.createDataFrame(near + away, ITEMS), spark.createDataFrame([(1, 63)], RATED), 3, rows=8)
+    from ratingloom.files import batches
+
+    folder = folders[0].removeprefix("file://")
+    gone = [name for name in os.listdir(folder) if min(next(batches(f"{folder}/{name}")).column(0)[0].as_py()) >= 100]
+    assert len(gone) >= 8
+    for name in gone:
+        os.remove(f"{folder}/{name}")  # so that reading it would fail
+    got = {u: [r["item_id"] for r in sorted(found.collect(), key=lambda r: r["rank"]) if r["user_id"] == u] for u in range(3)}
+    assert got == {0: [63, 55, 47], 1: [55, 47, 39], 2: [63, 55, 47]}
