@@ -83,3 +83,20 @@ def test_large_items_that_point_elsewhere_are_not_read(spark, monkeypatch):
         os.remove(f"{folder}/{name}")  # so that reading it would fail
     got = {u: [r["item_id"] for r in sorted(found.collect(), key=lambda r: r["rank"]) if r["user_id"] == u] for u in range(3)}
     assert got == {0: [63, 55, 47], 1: [55, 47, 39], 2: [63, 55, 47]}
+
+
+def test_lists_are_counted_across_batches(spark):
+    from ratingloom.operators import prep
+
+    rows = [(k % 7 if k % 7 != 3 else None, [k % 5, 4] if k % 4 else None) for k in range(300)] + [(9, None)]
+    plan = spark.createDataFrame(rows, "key long, ids array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["key"]: r["counts"] for r in prep.counted_lists(plan, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {k: [0.0] * 5 for k, _ in rows if k is not None}
+    for k, ids in rows:
+        for i in (ids or []) if k is not None else []:
+            want[k][i] += 1
+    assert got == want
