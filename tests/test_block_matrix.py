@@ -122,3 +122,23 @@ def test_conjugate_gradients_equal_those_over_rows(spark):
     x, rounds, rr = linalg.cg_least_squares(entries, y)
     assert found.rounds == rounds and np.isclose(found.gradient, rr**0.5, atol=1e-6)
     assert np.allclose([values(found.x)[7 * j] for j in range(5)], [values(x)[7 * j] for j in range(5)], atol=1e-6)
+
+
+def test_entries_are_shuffled_once(spark, monkeypatch):
+    """No entry is joined to its numbers: what is dealt to the blocks is as it was given, and the rest is small."""
+    a, b = sparse(6, 60, 12)
+    plans, plain = [], block_matrix.written
+
+    def seen(df, kind):
+        plans.append((kind, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, kind)
+
+    monkeypatch.setattr(block_matrix, "written", seen)
+    BlockMatrix.from_entries(frames(spark, a), grid=(3, 2))
+    of = next(plan for kind, plan in plans if kind == "matrix-blocks")
+    assert "SortMergeJoin" not in of and "i_at" not in of and of.count("Exchange hashpartitioning(r") <= 2
+
+
+@pytest.mark.parametrize(("sizes", "blocks", "want"), [([10, 10], 1, (1, 1)), ([54_000_000, 7_200_000], 206, (52, 7)), ([1000, 1000], 16, (4, 4)), ([100, 0], 1, (1, 1))])
+def test_grids_ship_little(sizes, blocks, want):
+    assert block_matrix._grid(sizes, blocks, 1 << 20) == want
