@@ -1,5 +1,6 @@
 import pytest
 
+from ratingloom.operators import linalg
 from ratingloom.plans.registry import ORACLES, QUERIES
 
 from .helpers import duck, same
@@ -30,3 +31,13 @@ def test_als_covers_all_numbers_of_factors(spark, sf_dir):
 def test_least_squares_tells_whether_it_converged(spark, sf_dir):
     rows = QUERIES["cg_least_squares"](spark, sf_dir).select("iterations", "final_rr").distinct().collect()
     assert len(rows) == 1 and 10 < rows[0]["iterations"] <= 200 and rows[0]["final_rr"] is not None
+
+
+def test_conjugate_gradients_join_no_entries_in_their_rounds(spark, sf_dir, monkeypatch):
+    """The matrix is joined to a vector once, for b; rounds multiply blocks that stay where they are."""
+    calls, plain = [], linalg.spmv
+    monkeypatch.setattr(linalg, "spmv", lambda *a: calls.append(1) or plain(*a))
+    got = QUERIES["cg_least_squares"](spark, sf_dir).collect()
+    assert len(calls) == 1 and got[0]["iterations"] > 1
+    x = {r["i"]: r["v"] for r in got}
+    assert x.keys() == {r["item_id"] for r in QUERIES["item_degree"](spark, sf_dir).collect()}
