@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import common_boost, cosine, genre_overlap
-from ..session import saved
+from ..session import collected, saved, written
 
 
 #: Items of a user that meet each other under one key; the square of it bounds the pairs of a key.
 TILE = 4096
+#: Pairs of a user's items that are made and summed up at once; more of them are made in several passes.
+PAIRS = 1 << 28
 
 
 def _met(rows: DataFrame, tile: int) -> DataFrame:
@@ -48,16 +53,31 @@ def co_rated(ratings: DataFrame, min_common: int = 3, item_genres: DataFrame | N
     With item_genres (item_id, genre), only items that share half of the smaller set of genres meet, and
     the test is made before pairs are counted. The items of a user of more than ``tile`` are cut into tiles, which
     meet each other once; pairs are summed up before they are shuffled. Rows with null users or items meet none.
+    Pairs are counted first: of more than PAIRS, those of some first items at a time are made and summed up, and
+    what a pass shuffles is dropped before the next.
     """
     rows = ratings.select("user_id", "item_id", "rating").where("user_id is not null and item_id is not null")
     if item_genres is not None:
         sets = item_genres.groupBy("item_id").agg(F.sort_array(F.collect_set("genre")).alias("g"))
         rows = rows.join(sets, "item_id")
-    pairs = _met(rows, tile)
+    rows = written(rows, "co-rated")[0]
+    n = F.count("*").cast("double")
+    made = rows.groupBy("user_id").agg((n * (n - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0.0
+    passes, pairs = max(1, math.ceil(made / PAIRS)), _met(rows, tile)
     if item_genres is not None:
         pairs = pairs.where(genre_overlap(F.col("ga"), F.col("gb")))
-    sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum(F.col("ra") * F.col("rb")).alias("ab"), F.sum(F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("rb") * F.col("rb")).alias("bb"))
-    return sums.where(F.col("n_common") >= min_common).select("a", "b", "n_common", cosine(F.col("ab"), F.col("aa"), F.col("bb")).alias("cos"))
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum(F.col("ra") * F.col("rb")).alias("ab"), F.sum(F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("rb") * F.col("rb")).alias("bb"))
+        return sums.where(F.col("n_common") >= min_common).select("a", "b", "n_common", cosine(F.col("ab"), F.col("aa"), F.col("bb")).alias("cos"))
+
+    if passes == 1:
+        return summed(pairs)
+    found = []
+    for k in range(passes):
+        found.append(written(summed(pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == k)), "pairs")[0])
+        collected(rows.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar(ratings: DataFrame, item_genres: DataFrame, top: int = 20, pool: int = 20, limit: float = 0.05, point: float = 100, min_common: int = 3, threshold: float = 0.3) -> DataFrame:

@@ -347,3 +347,16 @@ def test_ratings_are_given_and_taken_back(spark):
     assert rows(serving.rate(live, 7, 1, 2, t(2))) == [(7, 1, 2.0), (8, 1, 3.0)]
     assert rows(serving.rate(live, 7, 2, 5, t(2))) == [(7, 1, 4.0), (7, 2, 5.0), (8, 1, 3.0)]
     assert rows(serving.rate(live, 7, 1, None, t(2))) == [(8, 1, 3.0)] and rows(serving.rate(live, 9, 9, None, t(2))) == rows(live)
+
+
+def test_pairs_made_in_passes_are_the_same(spark, monkeypatch):
+    """More pairs than are made at once: those of some first items at a time."""
+    rng = np.random.default_rng(8)
+    rows = [(u, i, float(rng.integers(1, 11)) / 2) for u in range(25) for i in range(18) if rng.random() < 0.6] + [(None, 1, 1.0), (1, None, 1.0)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    want = sorted(map(tuple, similar.co_rated(df, tile=12).collect()))
+    passes, plain = [], similar.written
+    monkeypatch.setattr(similar, "written", lambda df, kind: passes.append(kind) or plain(df, kind))
+    monkeypatch.setattr(similar, "PAIRS", 300)
+    got = sorted(map(tuple, similar.co_rated(df, tile=12).collect()))
+    assert passes.count("pairs") > 2 and got == want and len(want) > 100
