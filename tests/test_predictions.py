@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from ratingloom.functions import porter, text
+from ratingloom.operators import models
 from ratingloom.plans.oracles import _sql
 from ratingloom.plans.queries import QUERIES
 from ratingloom.sources import testdata
@@ -126,3 +127,18 @@ def test_stemmed_search(spark, sf_dir, stemmed):
     want = sorted(((round(s, 9), i) for i, s in score.items()), reverse=True)[:100]
     got = [(round(r["score"], 9), r["item_id"]) for r in QUERIES["search_stemmed"](spark, sf_dir).collect()]
     assert sorted(s for s, _ in got) == sorted(s for s, _ in want) and len(set(got) & set(want)) >= len(want) - 2
+
+
+def test_wide_rows_are_shuffled_by_no_other_key(spark, monkeypatch):
+    """A rating's x holds 26 numbers: centers are joined before it is made."""
+    seen, plain = [], models.least_squares
+    monkeypatch.setattr(models, "least_squares", lambda design, *a: seen.append(design._jdf.queryExecution().executedPlan().toString()) or plain(design, *a))
+    rows = spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(4) for i in range(6)], "user_id long, item_id long, rating double")
+    tags = spark.createDataFrame([(1, "a", 1.0, 7)], "item_id long, tag string, weight double, n long")
+    genres = spark.createDataFrame([(i, f"g{i % 2}") for i in range(6)], "item_id long, genre string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        models.TagLS.fit(rows, tags, genres)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen[0].index("AS x#") < seen[0].index("Exchange")
