@@ -118,3 +118,16 @@ def test_systems_solved_by_inverse_equal_those_by_eigenvalues(monkeypatch):
     want = ls.solve(gram, right)
     assert np.allclose(got, want, rtol=1e-6, atol=0) and (got[1::5, 2] == 0).all()
     assert not (got[2::4] == want[2::4]).all()  # the others took the other way
+
+
+def test_what_is_cut_leaves_blocks_only(spark, monkeypatch):
+    """Ratings that were written on the way to the blocks are deleted, and the jobs' shuffles are dropped."""
+    import os
+
+    folders, dropped, plain = [], [], rating_blocks.written
+    monkeypatch.setattr(rating_blocks, "written", lambda df, kind: folders.append((kind, (found := plain(df, kind))[1])) or found)
+    monkeypatch.setattr(rating_blocks, "collected", dropped.append)
+    sides = rating_blocks.cut(ratings(spark).withColumnRenamed("rating", "y"), 20)
+    of = [folder.removeprefix("file://").removeprefix("file:") for kind, folder in folders if kind == "ratings"]
+    assert len(of) == 2 and not any(map(os.path.exists, of)) and len(dropped) == 2
+    assert all(side.keys.count() for side in sides)
